@@ -13,11 +13,11 @@ ascending order and stop at the slots' latest. Equal slots are an unbiased estim
 
 Candidates. 24 bands of 4 slots: a pair at similarity 0.8 shares none with probability 3e-6. No group's
 pairs are listed. 1: in each bucket every node is checked against one pivot, the same for all buckets
-where possible. 2: where a bucket still holds several components, each node outside its largest is
-checked against the node of another component whose signature is most alike. 3: what then remains, every pair
-across components that is in a bucket and whose signatures agree in at least 61 of 96 slots (four
-standard deviations below 0.8), is checked, so no link between components is lost to the pivots. Steps
-2 and 3 compare signatures inside cells of bounded size; buckets are never capped. Each check is exact.
+where possible; links join components. 2: in a bucket that still holds several components, every node
+outside its largest is compared, exactly, with all the bucket's nodes of other components, through an inverted
+index of their shingles in cells of bounded size, and one link is returned for each two components that have
+any. So no link between components is lost to the pivots, a bucket that is one component costs
+nothing more, and what is returned is linear in nodes. Buckets are never capped.
 """
 
 from __future__ import annotations
@@ -37,8 +37,7 @@ WORD = re.compile(r"\w+")
 SHINGLE, SIMILAR = 5, 0.8
 SLOTS, PER_BAND = 96, 4
 BANDS = SLOTS // PER_BAND
-LIKELY = 61
-CELL = 2048
+CELL = 1024
 A, B, C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 MASK = (1 << 64) - 1
@@ -112,12 +111,17 @@ def signatures(bags: list[np.ndarray]) -> np.ndarray:
     return (mixed(bits + A) >> np.uint64(32)).astype(np.uint32).view(np.int32).reshape(-1, SLOTS)
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard of two multisets given as sorted hashes and counts."""
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    both = int(np.minimum(a[1][i], b[1][j]).sum())
-    total = int(a[1].sum() + b[1].sum())
-    return both / (total - both) if total else 0.0
+def elements(h: np.ndarray) -> np.ndarray:
+    """A multiset as a sorted set: a hash's second, third, ... occurrence are elements of their own."""
+    h = np.sort(h)
+    again = np.arange(len(h)) - np.searchsorted(h, h)
+    return np.sort(mixed(h + again.astype(np.uint64) * C))
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Weighted Jaccard of two multisets, given as elements."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 0.0
 
 
 def sketched(docs: DataFrame, text: str, key: str) -> DataFrame:
@@ -152,25 +156,16 @@ def sketched(docs: DataFrame, text: str, key: str) -> DataFrame:
     return source.mapInPandas(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, node binary, n int, sig array<int>")
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) of nodes whose similarity is at least SIMILAR. texts: (node, text)."""
+def verified(pairs: DataFrame, bags: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose similarity is at least SIMILAR. bags: (node, bag)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
-
-        def bag(node: bytes, text: str) -> tuple[np.ndarray, np.ndarray]:
-            if node not in cache:
-                if len(cache) >= 512:
-                    cache.clear()
-                cache[node] = np.unique(shingles(WORD.findall(text.lower())), return_counts=True)
-            return cache[node]
-
         for pdf in batches:
-            same = [similarity(bag(a, s), bag(b, t)) >= SIMILAR for a, b, s, t in zip(pdf.a, pdf.b, pdf.s, pdf.t, strict=True)]
-            yield pdf.loc[same, ["a", "b"]]
+            same = [similarity(s, t) >= SIMILAR for s, t in zip(pdf.s, pdf.t, strict=True)]
+            yield pdf.loc[np.array(same, bool), ["a", "b"]]
 
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("s"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("t"))
+    left = bags.select(F.col("node").alias("a"), F.col("bag").alias("s"))
+    right = bags.select(F.col("node").alias("b"), F.col("bag").alias("t"))
     return pairs.select("a", "b").join(left, "a").join(right, "b").mapInPandas(run, "a binary, b binary")
 
 
@@ -195,52 +190,49 @@ def components(links: DataFrame) -> DataFrame:
     return label
 
 
-def across(members: DataFrame, sigs: DataFrame, comps: DataFrame, best: bool) -> DataFrame:
-    """Pairs of likely similar nodes in different components of a bucket. best: each node's likeliest only, for those outside the bucket's largest component."""
+def linked(bags: list[np.ndarray], comp: np.ndarray, asks: np.ndarray) -> list[tuple[int, int]]:
+    """Links between components (by number) that some pair (x, y) of similarity SIMILAR, x of asks, gives; each joins two that weren't yet."""
+    sizes = np.array([len(x) for x in bags])
+    owner = np.repeat(np.arange(len(bags)), sizes)
+    every = np.concatenate(bags)
+    order = np.argsort(every, kind="stable")
+    owner = owner[order]
+    words, begins, df = np.unique(every[order], return_index=True, return_counts=True)
+    root = np.arange(comp.max() + 1)
+    out = []
+    for x in asks:
+        at = np.searchsorted(words, bags[x])
+        a, n = begins[at], df[at]
+        into = np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        both = np.bincount(owner[into], minlength=len(bags))
+        for y in np.flatnonzero((both >= SIMILAR * (sizes[x] + sizes - both)) & (root[comp] != root[comp[x]])):
+            if root[comp[y]] != root[comp[x]]:
+                out.append((int(x), int(y)))
+                root[root == root[comp[y]]] = root[comp[x]]
+    return out
+
+
+def across(members: DataFrame, bags: DataFrame, comps: DataFrame) -> DataFrame:
+    """Links (a, b) between nodes of different components of a bucket, one at least for each two components that have any."""
     known = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    open_ = known.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    grid = F.greatest(F.lit(1), F.ceil(F.col("size") / CELL)).cast("int")
-    mine = known.join(open_.select("h", grid.alias("g")), "h").withColumn("slot", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
-    cells = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).select("h", "band", "node", "comp", "slot", F.least("slot", "other").alias("i"), F.greatest("slot", "other").alias("j"))
-    cells = cells.join(sigs.select("node", "n", "sig"), "node")
+    sizes = known.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"))
+    open_ = sizes.groupBy("h").agg(F.sum("c").alias("size"), F.max("c").alias("big"), F.max_by("comp", F.struct("c", "comp")).alias("core"), F.bit_xor("x").alias("x"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    open_ = open_.groupBy("size", "x", "core", "big").agg(F.min("h").alias("h"))  # buckets of the same nodes count once
+    part = lambda n: F.ceil(F.col(n) / CELL).cast("int")
+    mine = known.join(open_.select("h", "core", part("size").alias("all"), F.ceil((F.col("size") - F.col("big")) / CELL).cast("int").alias("rest")), "h")
+    mine = mine.withColumn("asks", F.col("comp") != F.col("core"))
+    every = mine.select("h", "node", "comp", "asks", F.lit(False).alias("only"), F.pmod(F.xxhash64("node"), F.col("all")).cast("int").alias("j"), F.explode(F.sequence(F.lit(0), F.col("rest") - 1)).alias("i"))
+    asking = mine.where("asks and all * rest > 1").select("h", "node", "comp", "asks", F.lit(True).alias("only"), F.explode(F.sequence(F.lit(0), F.col("all") - 1)).alias("j"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("rest")).cast("int").alias("i"))
+    cells = every.unionByName(asking).join(bags, "node")
 
     def cell(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node", kind="stable").reset_index(drop=True)
-        sig, n, slot, band = np.stack(pdf.sig), pdf.n.to_numpy(), pdf.slot.to_numpy(), int(pdf.band[0])
-        comp = pd.factorize(pdf.comp)[0]
-        whole = pdf.i[0] == pdf.j[0]
-        rows = np.flatnonzero(comp != np.bincount(comp).argmax())  # every pair across components has one of these
-        inside = np.zeros(len(comp), bool)
-        inside[rows] = True
-        out: list[tuple] = []
-        for k in range(0, len(rows), 32):
-            r = rows[k : k + 32]
-            ok = comp[r][:, None] != comp[None, :]
-            ok &= np.minimum(n[r][:, None], n) >= SIMILAR * np.maximum(n[r][:, None], n)
-            if not whole:
-                ok &= slot[r][:, None] != slot[None, :]
-            if not best:
-                ok &= ~inside[None, :] | (np.arange(len(comp)) > r[:, None])
-            a, b = np.nonzero(ok)
-            for p in range(0, len(a), 1 << 16):
-                x, y = r[a[p : p + (1 << 16)]], b[p : p + (1 << 16)]
-                equal = sig[x] == sig[y]
-                alike = equal.sum(axis=1)
-                good = alike >= LIKELY
-                if not best:  # a pair that shares several buckets is listed in the first
-                    good &= equal.reshape(-1, BANDS, PER_BAND).all(axis=2).argmax(axis=1) == band
-                out.append((x[good], y[good], alike[good]))
-        x, y, alike = (np.concatenate(z) for z in zip(*out, strict=True)) if out else (np.zeros(0, np.intp),) * 3
-        if best and len(x):
-            order = np.lexsort((y, -alike, x))
-            order = order[np.append(True, np.diff(x[order]) > 0)]
-            x, y, alike = x[order], y[order], alike[order]
+        pdf = pdf.sort_values(["only", "node"], kind="stable").reset_index(drop=True)
+        asks = np.flatnonzero(pdf.only if pdf.only.any() else pdf.asks)
+        links = linked([np.asarray(b) for b in pdf.bag], pd.factorize(pdf.comp)[0], asks) if len(asks) else []
         node = pdf.node.to_numpy()
-        return pd.DataFrame({"a": node[x], "b": node[y], "alike": alike.astype(np.int32)})
+        return pd.DataFrame({"a": [node[x] for x, _ in links], "b": [node[y] for _, y in links]})
 
-    found = cells.groupBy("h", "i", "j").applyInPandas(cell, "a binary, b binary, alike int")
-    if best:
-        found = found.groupBy("a").agg(F.max_by("b", F.struct("alike", "b")).alias("b"))
+    found = cells.groupBy("h", "i", "j").applyInPandas(cell, "a binary, b binary")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -253,22 +245,18 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     nodes = sketch.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"))
     first = sketch.join(nodes.select("node", F.col("rep").alias("doc_id")), ["node", "doc_id"]).where(F.col("sig").isNotNull()).select("node", "doc_id", "n", "sig").dropDuplicates(["node"])
     sigs = saved(first)
-    bands = sigs.select("node", "n", F.posexplode(F.array(*(F.xxhash64(F.lit(i), F.slice("sig", i * PER_BAND + 1, PER_BAND)) for i in range(BANDS)))).alias("band", "h"))
+    bands = sigs.select("node", "n", F.posexplode(F.array(*(F.xxhash64(F.lit(i), F.slice("sig", i * PER_BAND + 1, PER_BAND)) for i in range(BANDS)))).alias("band", "h")).drop("band")
     pivots = bands.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("node", "n")).alias("pivot")).where("size > 1")
-    members = saved(bands.join(pivots, "h").select("h", "band", "node", "n", F.col("pivot.node").alias("pivot"), F.col("pivot.n").alias("m")))
+    members = saved(bands.join(pivots, "h").select("h", "node", "n", F.col("pivot.node").alias("pivot"), F.col("pivot.n").alias("m")))
     asked = members.select("node").distinct().join(sigs.select("node", "doc_id"), "node")
     raw = docs.select(docs[key].alias("doc_id"), docs[text].alias("text")).where(F.col("text").isNotNull())
-    texts = saved(matching(asked.join(raw, "doc_id")))
-    tried = saved(members.where((F.col("node") != F.col("pivot")) & (F.least("n", "m") >= SIMILAR * F.greatest("n", "m"))).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
-    links = saved(verified(tried, texts))
+    bags = saved(bagged(asked.join(raw, "doc_id")))
+    pairs = members.where((F.col("node") != F.col("pivot")) & (F.least("n", "m") >= SIMILAR * F.greatest("n", "m"))).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    links = saved(verified(pairs, bags))
     comps = components(links)
-    held = members.select("h", "band", "node")
-    for best in (True, False):
-        more = saved(across(held, sigs, comps, best).join(tried, ["a", "b"], "left_anti"))
-        if not more.isEmpty():
-            tried = tried.unionByName(more)
-            links = links.unionByName(saved(verified(more, texts)))
-            comps = components(links)
+    more = saved(across(members.select("h", "node"), bags, comps))
+    if not more.isEmpty():
+        comps = components(links.unionByName(more))
     # An id that repeats with different texts ties its nodes together.
     rows = sketch.select("doc_id", "node").join(comps, "node", "left").select("doc_id", F.coalesce("comp", "node").alias("comp"))
     per_id = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_rows"), F.min("comp").alias("comp"), F.max("comp").alias("other"))
@@ -285,16 +273,22 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     return done.unionByName(alone)
 
 
-def matching(rows: DataFrame) -> DataFrame:
-    """(node, text) of the rows (node, text) whose text is the node's; an id may repeat with another."""
+def bagged(rows: DataFrame) -> DataFrame:
+    """(node, bag) of the rows (node, text) whose text is the node's (an id may repeat with another)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
         for pdf in batches:
-            yield pdf[[xxhash.xxh3_128_digest(" ".join(WORD.findall(t.lower()))) == node for node, t in zip(pdf.node, pdf.text, strict=True)]]
-
-    return rows.select("node", "text").mapInPandas(run, "node binary, text string").dropDuplicates(["node"])
+            nodes, bags = [], []
+            for node, text in zip(pdf.node, pdf.text, strict=True):
+                words = WORD.findall(text.lower())
+                if xxhash.xxh3_128_digest(" ".join(words)) == node:
+                    nodes.append(node)
+                    bags.append(elements(shingles(words)).view(np.int64))
+            yield pd.DataFrame({"node": nodes, "bag": bags})
+
+    return rows.select("node", "text").mapInPandas(run, "node binary, bag array<bigint>").dropDuplicates(["node"])
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
