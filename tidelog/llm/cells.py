@@ -51,6 +51,13 @@ def top(row: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[n
     return row[keep], ids[keep], scores[keep]
 
 
+def best_of(found: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score: the k best of each query, an id once, ties to the smaller."""
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
 def search(rows: DataFrame, queries: DataFrame, n_rows: int, n_queries: int, width: int, k: int, run: CellSearch, score: str, shard_rows: int, group_rows: int = 4096) -> DataFrame:
     """query_id, rank, vec_id, score. rows: (id, vec); queries: (id, vec, extra)."""
     ship(rows.sparkSession)
@@ -70,6 +77,4 @@ def search(rows: DataFrame, queries: DataFrame, n_rows: int, n_queries: int, wid
 
     kind = rows.schema["id"].dataType if isinstance(rows.schema["id"].dataType, T.IntegralType) else T.LongType()
     best = asked.groupBy("g", "s").cogroup(dealt.groupBy("g", "s")).applyInPandas(cell, f"query_id {kind.simpleString()}, vec_id {kind.simpleString()}, score {score}")
-    best = best.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return best_of(best, k)
