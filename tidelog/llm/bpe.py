@@ -134,7 +134,7 @@ def boundaries(texts: list[str]) -> list[np.ndarray]:
 class Merged(dict):
     """Slice -> its ids as little-endian 32-bit integers; bounded, and long slices aren't kept."""
 
-    def __init__(self, path: str, limit: int = 400_000, longest: int = 64):
+    def __init__(self, path: str, limit: int = 200_000, longest: int = 64):
         import tiktoken
 
         with open(path, "rb") as f:
@@ -176,7 +176,7 @@ def decode_ids(ids: Iterable[int], path: str) -> bytes:
 
 #: What encode() can return of each text, by name and type.
 OUTPUTS = {
-    "n_tokens": "bigint", "ids": "array<bigint>", "slice_starts": "array<int>", "slice_tokens": "array<int>",
+    "n_tokens": "bigint", "ids": "array<int>", "slice_starts": "array<int>", "slice_tokens": "array<int>",
     "ids_sha256": "string", "decoded_sha256": "string",
 }
 
@@ -190,25 +190,29 @@ def encode(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", ou
     ship(df.sparkSession)
     wanted = [o for o in OUTPUTS if o in outputs]
 
+    def some(keys: np.ndarray, texts: list[str]) -> pd.DataFrame:
+        got: dict[str, list] = {o: [] for o in wanted}
+        for packed, begins, pieces in encode_texts(texts, path):
+            ids = np.frombuffer(packed, "<u4")
+            if "n_tokens" in got:
+                got["n_tokens"].append(len(ids))
+            if "ids" in got:
+                got["ids"].append(ids.astype(np.int32))
+            if "slice_starts" in got:
+                got["slice_starts"].append(begins.astype(np.int32))
+            if "slice_tokens" in got:
+                got["slice_tokens"].append(np.array([len(p) // 4 for p in pieces], np.int32))
+            if "ids_sha256" in got:
+                got["ids_sha256"].append(hashlib.sha256(packed).hexdigest())
+            if "decoded_sha256" in got:
+                got["decoded_sha256"].append(hashlib.sha256(decode_ids(ids.tolist(), path)).hexdigest())
+        return pd.DataFrame({key: keys, **got})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            keys, texts = pdf.iloc[:, 0], [t if isinstance(t, str) else "" for t in pdf.iloc[:, 1]]
-            got: dict[str, list] = {o: [] for o in wanted}
-            for packed, begins, pieces in encode_texts(texts, path):
-                ids = np.frombuffer(packed, "<u4")
-                if "n_tokens" in got:
-                    got["n_tokens"].append(len(ids))
-                if "ids" in got:
-                    got["ids"].append(ids.astype(np.int64))
-                if "slice_starts" in got:
-                    got["slice_starts"].append(begins.astype(np.int32))
-                if "slice_tokens" in got:
-                    got["slice_tokens"].append(np.array([len(p) // 4 for p in pieces], np.int32))
-                if "ids_sha256" in got:
-                    got["ids_sha256"].append(hashlib.sha256(packed).hexdigest())
-                if "decoded_sha256" in got:
-                    got["decoded_sha256"].append(hashlib.sha256(decode_ids(ids.tolist(), path)).hexdigest())
-            yield pd.DataFrame({key: keys, **got})
+            every = [t if isinstance(t, str) else "" for t in pdf.iloc[:, 1]]
+            for a, b in steps(every):
+                yield some(pdf.iloc[a:b, 0].to_numpy(), every[a:b])
 
     source = df.select(df[key], df[text])
     kind = source.schema[0].dataType.simpleString()

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
 #: Characters that one vectorised step handles; it bounds a Python worker's arrays.
-STEP_CHARS = 1_000_000
+STEP_CHARS = 500_000
+#: Texts are long: fewer rows to a batch than Spark's default, so workers that many stages share stay small.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1024", "spark.sql.execution.arrow.maxBytesPerBatch": "16777216"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,7 +22,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Lets Python workers import this package wherever the driver was started from."""
+    """Lets Python workers import this package wherever the driver was started from, and bounds what one Arrow batch holds."""
+    for key, value in ARROW.items():
+        spark.conf.set(key, value)
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, env.get("PYTHONPATH")]))

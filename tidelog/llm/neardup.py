@@ -54,7 +54,7 @@ class WordHash(dict):
         import xxhash
 
         h = xxhash.xxh3_64_intdigest(word)
-        if len(self) >= 400_000:
+        if len(self) >= 200_000:
             self.clear()
         if len(word) <= 64:
             self[word] = h

@@ -41,7 +41,7 @@ def nodes(word: str) -> list[str]:
 class Scores(dict):
     """Word -> score, by its longest known node; bounded."""
 
-    def __init__(self, odds: dict[str, float], drift: float, limit: int = 300_000):
+    def __init__(self, odds: dict[str, float], drift: float, limit: int = 200_000):
         self.odds, self.drift, self.limit = odds, drift, limit
 
     def __missing__(self, word: str) -> float:
