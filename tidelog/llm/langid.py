@@ -4,7 +4,8 @@ One model per language, of order 5, over lower-case letters with every other run
 space. The languages' n-grams share sorted arrays of 64-bit hashes, one per order; beside each hash
 stand its interpolated log probabilities in every language and, by context, the back-off weights. A text goes to
 the language of lowest cross-entropy per character. What no language explains is rejected: its
-cross-entropy lies above what calibration texts of that language, left out of the model, show.
+cross-entropy is over twice the mean of calibration texts of that language, left out of the model, and
+eight standard deviations above it at the text's length.
 
 Fitting takes at most ``docs_per_lang`` rows of each language (those of smallest hash of the id; a fit
 is a bounded sample by design), scoring takes every text whole. Null texts and texts without a letter
@@ -136,7 +137,7 @@ class Model:
     def rejects(self, entropy: np.ndarray, best: np.ndarray, n: np.ndarray) -> np.ndarray:
         low = entropy[np.arange(len(best)), best]
         room = np.sqrt(self.spread[best] ** 2 + self.noise[best] ** 2 / np.maximum(n, 1))
-        return low > self.mean[best] + np.maximum(8 * room, 0.5 * self.mean[best])
+        return low > self.mean[best] + np.maximum(8 * room, self.mean[best])
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Language, its share of the posterior, cross-entropy, and whether it's rejected."""
