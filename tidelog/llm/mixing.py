@@ -7,9 +7,10 @@ id and the seed, and the rank (U / (1 - U)) / w, its random odds over its inclus
 lowest ranks are taken up to the words that are left. Inclusion odds within a source are proportional to
 w (a parameter, 1 by default: the common factor does not change the order); between sources they differ by target.
 
-No source is sorted in one task. Ranks fall into BINS bins; words by (source, bin) are summed up where
-they lie, a running total over a source's bins finds the bin in which the target lies, and only that
-bin's documents are ordered, by rank, id and size.
+No source is sorted in one task. Ranks fall into COARSE bins of FINE bins each; words by (source, coarse
+bin) are summed up where they lie, a running total finds the coarse bin in which the target lies, the
+same is done over the fine bins of that one, and only the documents of the fine bin found are
+ordered, by rank, id and size.
 
 Size is the number of runs of characters other than ASCII white space; null texts have 0 and are never
 drawn. Null sources are a source, last in order. Repeated rows are documents each.
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from tidelog.llm.common import cut, table, unit_hash
 
 WORDS = r"[^\x20\x09-\x0D]+"
-BINS = 1 << 14
+COARSE, FINE = 256, 4096
 
 
 def words(text: Column) -> Column:
@@ -50,28 +51,36 @@ def planned(docs: DataFrame, weights: tuple[float, ...], factor: float, most: fl
     """(rows with key, source, size, rank and bin; one row a source with its target, whole copies and the last rank drawn)."""
     spark = docs.sparkSession
     one = cut(docs.select(docs[key].alias("__k"), docs[source].alias("__s"), words(docs[text]).alias("__size"), rank(docs[key], odds, seed).alias("__q")).withColumn("__bin", binned("__q")))
-    sums = cut(one.groupBy("__s", "__bin").agg(F.sum("__size").alias("n")))
+    coarse = F.floor(F.col("__bin") / FINE).cast("int")
+    sums = cut(one.groupBy("__s", coarse.alias("b")).agg(F.sum("__size").alias("n")))
     by_source = [(r["__s"], int(r["n"])) for r in sums.groupBy("__s").agg(F.sum("n").alias("n")).collect()]
-    row = lambda s, n, t: F.struct(F.lit(s).cast("string").alias("__source"), F.lit(n).cast("long").alias("__source_size"), F.lit(float(t)).alias("__target"), F.lit(int(t / n) if n else 0).cast("long").alias("__whole"), F.lit(float(t - int(t / n) * n) if n else 0.0).alias("rest"))
+    row = lambda s, n, t: F.struct(F.lit(s).cast("string").alias("__source"), F.lit(n).cast("long").alias("__source_size"), F.lit(float(t)).alias("__target"), F.lit(int(t / n) if n else 0).cast("long").alias("__whole"), F.lit(float(t - int(t / n) * n) if n else 0.0).alias("__rest"))
     targets = spark.range(1).select(F.inline(F.array(*(row(*x) for x in shares(by_source, weights, factor, most) or [(None, 0, 0.0)]))))
-    run = Window.partitionBy("__s").orderBy("__bin")
-    bins = sums.join(F.broadcast(targets), F.equal_null("__s", "__source")).select("__s", "__bin", "n", "rest", (F.sum("n").over(run) - F.col("n")).alias("before"))
-    edge = bins.where((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("n") > F.col("rest"))).groupBy("__s").agg(F.min("__bin").alias("__edge"), F.min_by("before", "__bin").alias("before"), F.first("rest").alias("rest"))
-    edge = cut(edge.withColumnRenamed("__s", "__e"))  # a row a source
+    first = edge_bin(sums.join(F.broadcast(targets), F.equal_null("__s", "__source")).select("__s", "b", "n", "__rest", F.lit(0).cast("long").alias("upto")))
+    inner = one.join(F.broadcast(first), F.equal_null("__s", "__e") & (coarse == F.col("__edge"))).groupBy("__s", F.col("__bin").alias("b")).agg(F.sum("__size").alias("n"), F.first("__rest").alias("__rest"), F.first("before").alias("upto"))
+    edge = edge_bin(inner)
     order = Window.partitionBy("__e").orderBy("__q", "__k", "__size").rowsBetween(Window.unboundedPreceding, 0)
     inside = one.join(F.broadcast(edge), F.equal_null("__s", "__e") & (F.col("__bin") == F.col("__edge"))).withColumn("upto", F.col("before") + F.sum("__size").over(order))
-    last = cut(inside.where(F.col("upto") - F.col("__size") / 2 <= F.col("rest")).groupBy("__e").agg(F.max(F.struct("__q", "__k", "__size")).alias("__last")).withColumnRenamed("__e", "__l"))
+    last = cut(inside.where(F.col("upto") - F.col("__size") / 2 <= F.col("__rest")).groupBy("__e").agg(F.max(F.struct("__q", "__k", "__size")).alias("__last")).withColumnRenamed("__e", "__l"))
     plans = targets.join(F.broadcast(edge.select("__e", "__edge")), F.equal_null("__source", "__e"), "left").join(F.broadcast(last), F.equal_null("__source", "__l"), "left")
     return one, cut(plans.select("__source", "__source_size", "__target", "__whole", "__edge", "__last"))
 
 
+def edge_bin(bins: DataFrame) -> DataFrame:
+    """(__e, __edge, before, __rest) of each source: the bin in which the running total, from upto on, passes __rest. bins: (__s, b, n, __rest, upto)."""
+    run = Window.partitionBy("__s").orderBy("b")
+    bins = bins.withColumn("before", F.col("upto") + F.sum("n").over(run) - F.col("n"))
+    inside = bins.where((F.col("before") <= F.col("__rest")) & (F.col("before") + F.col("n") > F.col("__rest")))
+    return cut(inside.groupBy(F.col("__s").alias("__e")).agg(F.min("b").alias("__edge"), F.min_by("before", "b").alias("before"), F.first("__rest").alias("__rest")))  # a row a source
+
+
 def rank(key: Column, odds: Column | None, seed: int) -> Column:
     u = unit_hash(key, F.lit(seed))
     return u / (1 - u) / (F.lit(1.0) if odds is None else odds.cast("double"))
 
 
 def binned(q: str) -> Column:
-    return F.floor(F.col(q) / (1 + F.col(q)) * BINS).cast("int")
+    return F.floor(F.col(q) / (1 + F.col(q)) * (COARSE * FINE)).cast("int")
 
 
 def with_copies(rows: DataFrame, plans: DataFrame) -> DataFrame:
