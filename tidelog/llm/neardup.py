@@ -266,7 +266,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
         pairs = rows.join(per_id.where("comp <> other").select("doc_id", F.col("comp").alias("to")), "doc_id").select(F.col("to").alias("a"), F.col("comp").alias("b"))
         tied = components(pairs).withColumnRenamed("comp", "tied")
         per_id = per_id.join(tied.withColumnRenamed("node", "comp"), "comp", "left").withColumn("comp", F.coalesce("tied", "comp"))
-    classes = per_id.groupBy("comp").agg(F.min("doc_id").alias("class_id"))
+    classes = saved(per_id.groupBy("comp").agg(F.min("doc_id").alias("class_id")))  # written, so that a large class's rows can be split in the join
     done = per_id.join(classes, "comp").select("doc_id", "class_id", "n_rows")
     alone = docs.select(docs[key].alias("doc_id"), docs[text].alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").isNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_rows"))
     alone = alone.join(done.select("doc_id"), "doc_id", "left_anti").select("doc_id", F.col("doc_id").alias("class_id"), "n_rows")
