@@ -8,20 +8,23 @@ from pyspark.sql import functions as F
 PART = ["topic", "partition"]
 
 
-def assign(partitions: DataFrame, members: DataFrame) -> DataFrame:
-    """Partition i of a topic goes to the group's consumer i mod n, consumers by name. members: (group_id, consumer_id)."""
-    who = members.distinct()
-    who = who.select("group_id", "consumer_id", (F.row_number().over(Window.partitionBy("group_id").orderBy("consumer_id")) - 1).alias("o"), F.count(F.lit(1)).over(Window.partitionBy("group_id")).alias("n"))
+def assign(partitions: DataFrame, members: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """Partition i of a topic goes to the group's consumer i mod n, consumers by name.
+
+    members: (group_id, consumer_id); subscriptions: (group_id, topic).
+    """
+    who = members.distinct().withColumn("o", F.row_number().over(Window.partitionBy("group_id").orderBy("consumer_id")) - 1)
+    sizes = members.groupBy("group_id").agg(F.countDistinct("consumer_id").alias("n"))
     parts = partitions.select(*PART, (F.row_number().over(Window.partitionBy("topic").orderBy("partition")) - 1).alias("i"))
-    return parts.join(F.broadcast(who), F.pmod(F.col("i"), F.col("n")) == F.col("o")).select("group_id", "consumer_id", *PART)
+    turn = parts.join(subscriptions, "topic").join(sizes, "group_id").withColumn("o", F.pmod(F.col("i"), F.col("n")).cast("int"))
+    return turn.join(who, ["group_id", "o"]).select("group_id", "consumer_id", *PART)
 
 
 def assigned_to(assigned: DataFrame, group: str, consumer: str) -> DataFrame:
     """A consumer's partitions; an unknown consumer gets the whole group's."""
     own = assigned.where(F.col("group_id") == group)
-    known = own.where(F.col("consumer_id") == consumer)
-    none = known.agg(F.count(F.lit(1)).alias("k"))
-    return own.join(F.broadcast(none)).where((F.col("consumer_id") == consumer) | (F.col("k") == 0)).select(*PART).distinct()
+    known = own.where(F.col("consumer_id") == consumer).agg(F.count(F.lit(1))).scalar()
+    return own.where((F.col("consumer_id") == consumer) | (known == 0)).select(*PART).distinct()
 
 
 def committed(commits: DataFrame) -> DataFrame:

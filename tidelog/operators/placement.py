@@ -16,10 +16,10 @@ PART = ["topic", "partition"]
 
 def round_robin(partitions: DataFrame, brokers: DataFrame, rf: int) -> DataFrame:
     """Replica i of partition p is broker (p + i) mod n, brokers by name; the leader is the first."""
-    names = brokers.agg(F.array_sort(F.collect_set("broker")).alias("b"))
+    names = brokers.agg(F.array_sort(F.collect_set("broker"))).scalar()
     n = F.size("b")
     enough = F.when(n >= rf, F.col("b")).otherwise(F.raise_error(F.lit("fewer brokers than replicas")))
-    out = partitions.join(F.broadcast(names)).withColumn("b", enough)
+    out = partitions.withColumn("b", names).withColumn("b", enough)
     replicas = F.transform(F.sequence(F.lit(0), F.lit(rf - 1)), lambda i: F.element_at(F.col("b"), F.pmod(F.col("partition") + i, n) + 1))
     return out.select(*PART, replicas.alias("replicas")).withColumn("leader", F.element_at("replicas", 1))
 
@@ -80,8 +80,8 @@ def in_sync(placed: DataFrame, status: DataFrame, most: int = 10) -> DataFrame:
 
 def elect(partitions: DataFrame, dead: DataFrame) -> DataFrame:
     """Partitions led by a dead broker, with the first living member of their in-sync set (null if none)."""
-    gone = dead.agg(F.collect_set("broker").alias("dead"))
-    rows = partitions.join(F.broadcast(gone)).where(F.array_contains("dead", F.col("leader")))
+    gone = dead.agg(F.collect_set("broker")).scalar()
+    rows = partitions.withColumn("dead", gone).where(F.array_contains("dead", F.col("leader")))
     living = F.filter("isr", lambda x: ~F.array_contains(F.col("dead"), x))
     return rows.select(*PART, F.col("leader").alias("old_leader"), F.get(living, 0).alias("new_leader"))
 

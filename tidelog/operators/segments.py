@@ -60,17 +60,36 @@ def by_count(log: DataFrame, max_count: int) -> DataFrame:
     return seg.withColumn("active", F.col("base") == F.max("base").over(Window.partitionBy(*PART)))
 
 
+def as_of(entries: DataFrame, at: str, targets: DataFrame) -> DataFrame:
+    """(topic, partition, target, hit): the last entry at or below each target, as a struct; null if none.
+
+    One sort of entries and targets together, so the cost is linear in both.
+    """
+    e = entries.select(*PART, F.col(at).alias("__at"), F.lit(0).alias("__kind"), F.struct("*").alias("hit"))
+    t = targets.select(*PART, F.col("target").alias("__at"), F.lit(1).alias("__kind"), F.lit(None).cast(e.schema["hit"].dataType).alias("hit"))
+    w = Window.partitionBy(*PART).orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = e.unionByName(t).withColumn("hit", F.last("hit", ignorenulls=True).over(w))
+    return found.where("__kind = 1").select(*PART, F.col("__at").alias("target"), "hit")
+
+
 def locate(segments: DataFrame, targets: DataFrame) -> DataFrame:
     """(topic, partition, target) -> base of the segment that holds it; the last is open-ended, below the first is -1."""
-    ends = segments.select(*PART, "base", F.lead("base").over(Window.partitionBy(*PART).orderBy("base")).alias("next"))
-    hit = targets.join(ends, PART, "left").where((F.col("target") >= F.col("base")) & (F.col("next").isNull() | (F.col("target") < F.col("next"))))
-    return targets.join(hit.select(*PART, "target", "base"), [*PART, "target"], "left").withColumn("base", F.coalesce("base", F.lit(-1).cast("long")))
+    return as_of(segments.select(*PART, "base"), "base", targets).select(*PART, "target", F.coalesce("hit.base", F.lit(-1).cast("long")).alias("base"))
+
 
+def dense_index(log: DataFrame, stretch: int = 100_000) -> DataFrame:
+    """Byte position of every message in its partition.
 
-def dense_index(log: DataFrame) -> DataFrame:
-    """Byte position of every message in its partition."""
-    before = Window.partitionBy(*PART).orderBy("offset").rowsBetween(Window.unboundedPreceding, -1)
-    return log.select(*PART, "offset", F.coalesce(F.sum("size").over(before), F.lit(0)).cast("long").alias("position"), "size", "ts")
+    Sizes run up inside stretches of offsets, and a stretch starts at the sum of those before it, so a
+    hot partition is spread over as many tasks as it has stretches.
+    """
+    marked = log.select(*PART, "offset", "size", "ts", F.floor(F.col("offset") / stretch).alias("__b"))
+    before = Window.partitionBy(*PART).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = marked.groupBy(*PART, "__b").agg(F.sum("size").alias("__n"))
+    starts = sums.select(*PART, "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    inside = Window.partitionBy(*PART, "__b").orderBy("offset").rowsBetween(Window.unboundedPreceding, -1)
+    out = marked.withColumn("__p", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(starts, [*PART, "__b"])
+    return out.select(*PART, "offset", (F.col("__start") + F.col("__p")).cast("long").alias("position"), "size", "ts")
 
 
 def sparse_index(dense: DataFrame, interval: int = 4096) -> DataFrame:
@@ -79,12 +98,14 @@ def sparse_index(dense: DataFrame, interval: int = 4096) -> DataFrame:
 
 def floor_entry(index: DataFrame, targets: DataFrame, strict: bool = False) -> DataFrame:
     """The greatest entry at or below each target; strict: null outside [first, last] entry."""
-    ends = Window.partitionBy(*PART)
-    entries = index.select(*PART, F.col("offset").alias("entry"), "position", F.min("offset").over(ends).alias("first"), F.max("offset").over(ends).alias("last"))
-    best = targets.join(entries, PART, "left").where("entry <= target" + (" and target <= last" if strict else "")).groupBy(*PART, "target").agg(F.max("entry").alias("entry"), F.max_by("position", "entry").alias("position"))
-    return targets.select(*PART, "target").distinct().join(best, [*PART, "target"], "left")
+    entries = index.select(*PART, F.col("offset").alias("entry"), "position", F.max("offset").over(Window.partitionBy(*PART)).alias("last"))
+    found = as_of(entries, "entry", targets.select(*PART, "target").distinct())
+    good = F.col("target") <= F.col("hit.last") if strict else F.lit(True)
+    return found.select(*PART, "target", F.when(good, F.col("hit.entry")).alias("entry"), F.when(good, F.col("hit.position")).alias("position"))
 
 
-def offset_for_time(log: DataFrame, times: DataFrame) -> DataFrame:
-    """The first offset at or after a time, by partition (an extension). times: (t)."""
-    return log.join(F.broadcast(times), F.col("ts") >= F.col("t")).groupBy(*PART, "t").agg(F.min("offset").alias("offset"))
+def offset_for_time(log: DataFrame, times: list) -> DataFrame:
+    """The first offset at or after each of the times, by partition (an extension), in one pass; null times' rows are left out."""
+    firsts = [F.min(F.when(F.col("ts") >= F.lit(t), F.col("offset"))).alias(f"o{i}") for i, t in enumerate(times)]
+    each = F.array(*(F.struct(F.lit(t).cast("timestamp_ntz").alias("t"), F.col(f"o{i}").alias("offset")) for i, t in enumerate(times)))
+    return log.groupBy(*PART).agg(*firsts).select(*PART, F.inline(each)).where(F.col("offset").isNotNull())

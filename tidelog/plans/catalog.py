@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from tidelog.functions.routing import delay_ready, hash31, is_down, partition_of
@@ -57,10 +59,6 @@ def query(name: str, sql: str | None):
     return add
 
 
-def now_of(spark, sf):
-    return X.read(spark, sf, "events").agg(F.max("ts").alias("now"))
-
-
 # Routing and offsets
 
 
@@ -116,20 +114,19 @@ PULL = 'select group_id, l.topic, l.partition, "offset", id from (select g.group
 
 @query("pull_batch", PULL.format(share="(100 // count(*) over (partition by g.group_id))", where=""))
 def pull_batch(spark, sf):
-    assigned = X.leo(spark, sf).join(F.broadcast(X.groups(spark))).select("group_id", *PART)
+    assigned = X.for_groups(X.leo(spark, sf)).select("group_id", *PART)
     return L.pull(X.log(spark, sf), assigned, G.committed(X.commits(spark, sf)), 100).select("group_id", *PART, "offset", "id")
 
 
 @query("pull_after_commit", PULL.format(share="30", where="") + " and group_id = 'g1'")
 def pull_after_commit(spark, sf):
-    leo = X.leo(spark, sf)
-    assigned = leo.join(F.broadcast(X.groups(spark).where("group_id = 'g1'"))).select("group_id", *PART)
+    assigned = X.for_groups(X.leo(spark, sf), ("g1",)).select("group_id", *PART)
     return L.pull(X.log(spark, sf), assigned, G.committed(X.commits(spark, sf)), 450).select("group_id", *PART, "offset", "id")
 
 
 @query("pull_multi_topic", PULL.format(share="(120 // count(*) over (partition by g.group_id))", where=" where l.topic in ('click', 'view')"))
 def pull_multi_topic(spark, sf):
-    assigned = X.leo(spark, sf).where(F.col("topic").isin("click", "view")).join(F.broadcast(X.groups(spark))).select("group_id", *PART)
+    assigned = X.for_groups(X.leo(spark, sf).where(F.col("topic").isin("click", "view"))).select("group_id", *PART)
     return L.pull(X.log(spark, sf), assigned, G.committed(X.commits(spark, sf)), 120).select("group_id", *PART, "offset", "id")
 
 
@@ -217,7 +214,7 @@ def sparse_index_strict(spark, sf):
 
 @query("offset_for_time", "select topic, partition, t, min(\"offset\") as \"offset\" from log, (values (timestamp '2024-01-10'), (timestamp '2024-01-20')) x(t) where ts >= t group by all")
 def offset_for_time(spark, sf):
-    return S.offset_for_time(X.log(spark, sf), spark.sql("select * from values (timestamp_ntz'2024-01-10'), (timestamp_ntz'2024-01-20') as x(t)"))
+    return S.offset_for_time(X.log(spark, sf), [dt.datetime(2024, 1, 10), dt.datetime(2024, 1, 20)])
 
 
 # Retention
@@ -234,7 +231,7 @@ DOOMED["any"] = " union ".join(DOOMED.values())
 def _doomed(spark, sf, kind):
     seg = S.by_count(X.log(spark, sf), COUNT)
     if kind == "time":
-        return R.by_time(seg.join(F.broadcast(now_of(spark, sf))), F.col("now"), KEEP_S)
+        return R.by_time(seg, X.newest(spark, sf), KEEP_S)
     return R.by_size(seg, KEEP_BYTES) if kind == "size" else R.by_offset(seg, KEEP_FROM)
 
 
@@ -270,12 +267,13 @@ def apply_retention(spark, sf):
   (select topic, partition, row_number() over (partition by topic order by partition) - 1 as i from leo) p,
   (select *, row_number() over (partition by group_id order by consumer_id) - 1 as o, count(*) over (partition by group_id) as n from members) m where i % n = o""")
 def group_assign_rr(spark, sf):
-    return G.assign(X.leo(spark, sf), X.members(spark))
+    leo = X.leo(spark, sf)
+    return G.assign(leo, X.members(spark), X.for_groups(leo.select("topic").distinct()))
 
 
 @query("assigned_partitions", "select consumer, topic, partition from leo, (values ('c1'), ('stranger')) c(consumer) where consumer = 'stranger' or (partition % 2 = 0)")
 def assigned_partitions(spark, sf):
-    a = G.assign(X.leo(spark, sf), X.members(spark))
+    a = group_assign_rr(spark, sf)
     known = G.assigned_to(a, "g1", "c1").select(F.lit("c1").alias("consumer"), *PART)
     return known.unionByName(G.assigned_to(a, "g1", "stranger").select(F.lit("stranger").alias("consumer"), *PART))
 
@@ -287,7 +285,7 @@ def commit_latest_wins(spark, sf):
 
 @query("committed_offsets", "select g.group_id, l.topic, l.partition, coalesce(committed, 0)::bigint as committed from leo l, grp g left join committed c on c.group_id = g.group_id and c.topic = l.topic and c.partition = l.partition")
 def committed_offsets(spark, sf):
-    every = X.leo(spark, sf).join(F.broadcast(X.groups(spark))).select("group_id", *PART)
+    every = X.for_groups(X.leo(spark, sf)).select("group_id", *PART)
     return every.join(G.committed(X.commits(spark, sf)), ["group_id", *PART], "left").select("group_id", *PART, F.coalesce("committed", F.lit(0)).cast("long").alias("committed"))
 
 
@@ -318,7 +316,7 @@ def log_end_offset(spark, sf):
 @query("consumer_lag", "select g.group_id, l.topic, l.partition, coalesce(committed, 0)::bigint as committed, leo, greatest(0, leo - coalesce(committed, 0))::bigint as lag from leo l, grp g left join committed c on c.group_id = g.group_id and c.topic = l.topic and c.partition = l.partition")
 def consumer_lag(spark, sf):
     leo = X.leo(spark, sf)
-    subscribed = leo.select("topic").distinct().join(F.broadcast(X.groups(spark)))
+    subscribed = X.for_groups(leo.select("topic").distinct())
     return G.lag(subscribed, leo, X.commits(spark, sf))
 
 
@@ -415,7 +413,7 @@ KIND = "case when topic = 'purchase' then 'DELAYED' else 'NORMAL' end"
 
 @query("delay_ready", f"select topic, id, kind from (select *, {KIND} as kind, 3600 * json_extract_string(body, '$.k')::bigint as d from log), (select max(ts) as now from events) where kind <> 'DELAYED' or d is null or now > ts + to_seconds(d)")
 def delay_ready_(spark, sf):
-    rows = X.routed(spark, sf).join(F.broadcast(now_of(spark, sf))).withColumn("kind", F.when(F.col("topic") == "purchase", "DELAYED").otherwise("NORMAL"))
+    rows = X.routed(spark, sf).withColumn("now", X.newest(spark, sf)).withColumn("kind", F.when(F.col("topic") == "purchase", "DELAYED").otherwise("NORMAL"))
     delay = 3600 * F.get_json_object("body", "$.k").cast("long")
     return rows.where(delay_ready(F.col("kind"), delay, F.col("ts"), F.col("now"))).select("topic", "id", "kind")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.functions.routing import message_size, partition_of
@@ -33,8 +33,17 @@ def leo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routed(spark, sf_dir).groupBy(*PART).agg(F.count(F.lit(1)).alias("leo"))
 
 
-def groups(spark: SparkSession) -> DataFrame:
-    return spark.sql("select * from values ('g1'), ('g2') as t(group_id)")
+GROUPS = ("g1", "g2")
+
+
+def for_groups(df: DataFrame, groups: tuple[str, ...] = GROUPS) -> DataFrame:
+    """Each row once for each group."""
+    return df.withColumn("group_id", F.explode(F.array(*map(F.lit, groups))))
+
+
+def newest(spark: SparkSession, sf_dir: str) -> Column:
+    """The newest event's time, as a scalar subquery: "now" comes from the data, so reruns agree."""
+    return read(spark, sf_dir, "events").agg(F.max("ts")).scalar()
 
 
 def members(spark: SparkSession) -> DataFrame:
@@ -43,7 +52,7 @@ def members(spark: SparkSession) -> DataFrame:
 
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three commits of each group and partition; the last goes back."""
-    rows = leo(spark, sf_dir).join(F.broadcast(groups(spark)))
+    rows = for_groups(leo(spark, sf_dir))
     part = F.explode(F.array(F.struct(F.lit(1).alias("q"), F.lit(4).alias("d")), F.struct(F.lit(2).alias("q"), F.lit(2).alias("d")), F.struct(F.lit(3).alias("q"), F.lit(3).alias("d"))))
     rows = rows.select("group_id", *PART, "leo", part.alias("c")).where("not (group_id = 'g2' and partition = 2)")
     return rows.select("group_id", *PART, F.floor(F.col("leo") / F.col("c.d")).alias("offset"), F.col("c.q").cast("long").alias("commit_seq"))
@@ -52,7 +61,6 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def brokers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations as brokers, their regions as racks; last seen up to a minute before the newest event."""
     n, r = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
-    now = read(spark, sf_dir, "events").agg(F.max("ts").alias("now"))
-    rows = n.join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey")).join(F.broadcast(now))
+    rows = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).withColumn("now", newest(spark, sf_dir))
     seen = F.col("now") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), ((F.col("n_nationkey") * 17 + 20) % 60).cast("decimal(18,6)"))
     return rows.select(F.col("n_name").alias("broker"), F.col("r_name").alias("rack"), F.col("n_nationkey").alias("k"), seen.alias("last_seen"), "now")
