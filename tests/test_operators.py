@@ -1,10 +1,13 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from tidelog.broker import Broker
 from tidelog.functions import routing
 from tidelog.operators import iosim, log, placement, segments
+from tidelog.sources.metadata import Metadata
 from tidelog.sources.store import LogStore
 from tidelog.streaming import consumer
 
@@ -146,3 +149,101 @@ def test_streamed_windows_and_delays(spark, tmp_path):
     held = consumer.topic_stream(spark, store.path).withColumn("wait", F.lit(3600))
     run(consumer.delayed(held, "wait"), "delays")
     assert spark.table("delays").count() == 59
+
+
+def test_roll_streams_over_batches_and_unordered_times(spark):
+    rng = random.Random(3)
+    rows, want = [], {}
+    t0 = dt.datetime(2024, 1, 1)
+    for topic, n in (("a", 700), ("b", 1), ("c", 300)):
+        segments_, at = [], None
+        for i in range(n):
+            size, sec = rng.randint(1, 9), i + rng.randint(-20, 20)
+            rows.append((topic, 0, i, size, t0 + dt.timedelta(seconds=sec)))
+            if at is None or at[2] + size > 100 or i - at[0] >= 30 or sec - at[3] >= 25:
+                at = [i, i, 0, sec]
+                segments_.append(at)
+            at[1], at[2] = i, at[2] + size
+        want[topic] = [tuple(s[:3]) for s in segments_]
+    df = spark.createDataFrame(rows, "topic string, partition int, offset bigint, size bigint, ts timestamp").repartition(5)
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+        got = segments.roll(df, max_bytes=100, max_count=30, span_us=25_000_000).orderBy("topic", "base").collect()
+        pages = [(c, i, rng.randint(0, 12)) for c in "xy" for i in range(200)]
+        lru = {r.cache: (r.hits, r.misses, r.evictions) for r in iosim.lru(spark.createDataFrame(pages, "cache string, seq bigint, page bigint"), 5).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    assert {t: [(r.base, r.hi, r.bytes) for r in got if r.topic == t] for t in want} == want
+    for c in "xy":
+        held, hits, out = [], 0, 0
+        for _, _, page in [p for p in pages if p[0] == c]:
+            hits += page in held
+            held = [x for x in held if x != page] + [page]
+            out += len(held) > 5
+            held = held[-5:]
+        assert lru[c] == (hits, 200 - hits, out)
+
+
+def test_roll_and_lru_of_nothing(spark):
+    assert segments.roll(sized(spark, [], []), max_bytes=10).count() == 0
+    assert iosim.lru(spark.createDataFrame([], "cache string, seq bigint, page string"), 3).count() == 0
+
+
+def test_broker_end_to_end(spark, tmp_path):
+    b = Broker(spark, str(tmp_path))
+    with pytest.raises(ValueError, match="no topic"):
+        b.publish(messages(spark, 3), 1)
+    for i in range(3):
+        b.meta.join(f"b{i}", f"h{i}:9000", f"r{i}")
+    b.meta.create_topic("t", 4, 2)
+    with pytest.raises(ValueError, match="exists"):
+        b.meta.create_topic("t")
+    sent = b.publish(messages(spark, 40), 1).collect()
+    assert len(sent) == 40 and all(r.partition == h31(r.id, 4) for r in sent)
+    b.publish(messages(spark, 40), 1)  # a retry
+    assert b.store.read().count() == 40
+    b.subscribe("g", ["t", "new"], ["c2", "c1"])
+    assert b.meta.topics() == ["new", "t"] and b.meta.members("g") == ["c1", "c2"] and b.meta.members("none") == ["none-consumer"]
+    first = b.pull("g", "c1", 100).collect()
+    assert {r.partition for r in first} == {p for p in (0, 2) if any(r.partition == p for r in sent)}
+    assert len(b.pull("g", most=1000).collect()) == 40
+    b.ack("g", "t", [r.id for r in b.pull("g", most=1000).collect()], every=True)
+    assert b.pull("g", most=1000).count() == 0 and b.lag().agg(F.sum("lag")).first()[0] == 0
+    b.ack("g", "t", [r.id for r in sent if r.offset == 0][:1])  # goes back
+    lag = {(r.topic, r.partition): r.lag for r in b.lag().collect()}
+    assert len(lag) == 4 + 3 and sum(lag.values()) > 0
+    stats = {r.topic: r.partitions for r in b.topic_stats().collect()}
+    assert len(stats["t"]) == 4 and {p.latest for p in stats["new"]} == {-1} and all(p.isr_size == 2 for p in stats["t"])
+    assert any(line.startswith('consumer_lag{group="g"') for line in b.metrics())
+
+
+def test_metadata_follows_nodes(spark, tmp_path):
+    m = Metadata(spark, str(tmp_path / "meta"))
+    for i in range(4):
+        m.join(f"b{i}", f"h{i}")
+    m.create_topic("t", 4, 2)
+    assert m.of_node("b1").count() == 2 and m.of_node("b1", "leader").count() == 1 and m.of_node("b1", "follower").count() == 1
+    m.fail_over(["b1"])
+    assert {r.partition: r.leader for r in m.partitions("t").collect()} == {0: "b0", 1: "b2", 2: "b2", 3: "b3"}
+    m.leave("b1")
+    assert m.brokers() == ["b0", "b2", "b3"]
+    m.rebalance("t")
+    for r in m.partitions("t").collect():
+        assert "b1" not in r.replicas and len(set(r.replicas)) == 2 and r.leader == r.isr[0] and r.leader not in r.followers
+    m.set_isr("t", 0, add=["x"], remove=["b0"])
+    assert m.partitions("t").where("partition = 0").first().isr[-1] == "x"
+    m.subscribe("g", ["t"], [])
+    assert m.view("assignments").count() == 4
+    m.unsubscribe("g")
+    assert m.view("assignments").count() == 0 and m.view("groups").count() == 0
+    m.delete_topic("t")
+    assert m.topics() == [] and m.partitions().count() == 0
+    m.join("b9", "old")
+    m.join("b9", "new")
+    assert [r["address"] for r in m.dump("brokers") if r["broker"] == "b9"] == ["new"]
+
+
+def test_segment_names(spark):
+    rows = spark.createDataFrame([("t-0/00000000000000000120.log",), ("00000000000000000000.log",), ("x.index",), ("x.log",)], "n string")
+    assert [r[0] for r in rows.select(routing.base_of(F.col("n"))).collect()] == [120, 0, None, None]

@@ -12,11 +12,11 @@ def hash31(text: Column) -> Column:
     return F.aggregate(points, F.lit(0).cast("long"), lambda h, c: (h * 31 + c).bitwiseAND(F.lit(0x7FFFFFFF).cast("long")))
 
 
-def partition_of(text: Column, partitions: int) -> Column:
+def partition_of(text: Column, partitions: int | Column) -> Column:
     return (hash31(text) % partitions).cast("int")
 
 
-def keyed_partition(key: Column, message_id: Column, partitions: int) -> Column:
+def keyed_partition(key: Column, message_id: Column, partitions: int | Column) -> Column:
     """Routing by key where there is one (an extension: the default routes by id)."""
     return partition_of(F.coalesce(key, message_id), partitions)
 
@@ -57,5 +57,11 @@ def segment_name(base: Column) -> Column:
     return F.concat(F.lpad(base.cast("string"), 20, "0"), F.lit(".log"))
 
 
+def base_of(name: Column) -> Column:
+    """The base offset that a segment file's name, with or without its folder, stands for; null if it isn't one."""
+    last = F.element_at(F.split(name, "/"), -1)
+    return F.when(F.endswith(last, F.lit(".log")), F.substring(last, 1, 20).try_cast("bigint"))
+
+
 def node_id(host: Column, address: Column, stamp: Column) -> Column:
     return F.substring(F.md5(F.concat_ws("-", host, F.replace(address, F.lit(":"), F.lit("-")), stamp.cast("string"))), 1, 12)

@@ -27,6 +27,12 @@ def assigned_to(assigned: DataFrame, group: str, consumer: str) -> DataFrame:
     return own.where((F.col("consumer_id") == consumer) | (known == 0)).select(*PART).distinct()
 
 
+def members_or_default(groups: DataFrame, members: DataFrame) -> DataFrame:
+    """(group_id, consumer_id) of each group; a group without consumers has one of its own name."""
+    who = F.coalesce("consumer_id", F.concat("group_id", F.lit("-consumer")))
+    return groups.join(members.distinct(), "group_id", "left").select("group_id", who.alias("consumer_id"))
+
+
 def committed(commits: DataFrame) -> DataFrame:
     """The latest commit of each (group, topic, partition) wins, even if it goes back."""
     return commits.groupBy("group_id", *PART).agg(F.max_by("offset", "commit_seq").alias("committed"))

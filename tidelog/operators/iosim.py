@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,23 +17,39 @@ def coalesce_writes(requests: DataFrame) -> DataFrame:
     return runs.groupBy("file", "run").agg(F.min("begin").alias("begin"), F.sum("length").alias("length"), F.count(F.lit(1)).alias("requests")).drop("run")
 
 
+def io_stats(requests: DataFrame) -> DataFrame:
+    """requests: (op, bytes, failed). Requests, bytes and errors by kind of operation."""
+    return requests.groupBy("op").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"), F.count_if("failed").alias("errors"))
+
+
 def lru(accesses: DataFrame, capacity: int) -> DataFrame:
     """accesses: (cache, seq, page). Hits, misses and evictions of an LRU cache of that capacity, by cache.
 
-    A cache is a sequential machine; its accesses meet in one task, which holds at most capacity pages.
+    A cache is a sequential machine: its accesses, sorted outside Python, stream through one task, which
+    holds at most capacity pages.
     """
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        held: dict = {}
-        hits = evictions = 0
-        for page in pdf.sort_values("seq", kind="stable").page:
-            if page in held:
-                hits += 1
-                del held[page]
-            elif len(held) >= capacity:
-                del held[next(iter(held))]
-                evictions += 1
-            held[page] = True
-        return pd.DataFrame([(pdf.cache.iat[0], hits, len(pdf) - hits, evictions)], columns=["cache", "hits", "misses", "evictions"])
-
-    return accesses.select("cache", "seq", "page").groupBy("cache").applyInPandas(one, "cache string, hits bigint, misses bigint, evictions bigint")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, held, figures, begun = None, {}, [0, 0, 0], False
+        for pdf in batches:
+            rows = []
+            for cache, part in pdf.groupby("cache", sort=False, dropna=False):
+                if begun and cache != name:
+                    rows.append((name, *figures))
+                    held, figures = {}, [0, 0, 0]
+                name, begun = cache, True
+                for page in part.page:
+                    if page in held:
+                        figures[0] += 1
+                        del held[page]
+                    else:
+                        figures[1] += 1
+                        if len(held) >= capacity:
+                            del held[next(iter(held))]
+                            figures[2] += 1
+                    held[page] = True
+            yield pd.DataFrame(rows, columns=["cache", "hits", "misses", "evictions"])
+        yield pd.DataFrame([(name, *figures)] if begun else [], columns=["cache", "hits", "misses", "evictions"])
+
+    rows = accesses.select("cache", "seq", "page").where(F.col("cache").isNotNull())
+    return rows.repartition("cache").sortWithinPartitions("cache", "seq").mapInPandas(run, "cache string, hits bigint, misses bigint, evictions bigint")

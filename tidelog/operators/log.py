@@ -68,6 +68,16 @@ def dedup(log: DataFrame) -> DataFrame:
     return keep.select("topic", "id", "at.partition", "at.offset")
 
 
+def known(messages: DataFrame, topics: DataFrame) -> DataFrame:
+    """The messages of topics that exist."""
+    return messages.join(topics.select("topic"), "topic", "left_semi")
+
+
+def drain(messages: DataFrame, ready: Column) -> DataFrame:
+    """Delayed messages that are due, as they are published again: NORMAL, without attributes."""
+    return messages.where((F.col("kind") == "DELAYED") & ready).withColumn("kind", F.lit("NORMAL")).drop("attributes")
+
+
 def replicas_of(log: DataFrame, placed: DataFrame) -> DataFrame:
     """A copy of each message for each replica of its partition."""
     return log.join(placed.select(*PART, F.explode("replicas").alias("node")), PART)

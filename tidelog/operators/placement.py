@@ -78,6 +78,19 @@ def in_sync(placed: DataFrame, status: DataFrame, most: int = 10) -> DataFrame:
     return rows.where((F.col("node") == F.col("leader")) | (F.col("at") - F.col("offset") <= most)).groupBy(*PART, "leader").agg(F.array_sort(F.collect_set("node")).alias("isr"))
 
 
+def replica_lag(placed: DataFrame, status: DataFrame) -> DataFrame:
+    """How far each replica with a status is behind its leader; a partition whose leader has none is left out."""
+    leads = placed.select(*PART, "leader").join(status.select(*PART, F.col("node").alias("leader"), F.col("offset").alias("at")), [*PART, "leader"])
+    return status.join(leads, PART).select(*PART, "node", (F.col("at") - F.col("offset")).alias("behind"))
+
+
+def node_counts(placed: DataFrame) -> DataFrame:
+    """Each node's number of partitions, as replica, leader and follower."""
+    rows = placed.select("leader", F.explode("replicas").alias("node"))
+    leads = F.count_if(F.col("leader") == F.col("node"))
+    return rows.groupBy("node").agg(F.count(F.lit(1)).alias("replicas"), leads.alias("leaders"), (F.count(F.lit(1)) - leads).alias("followers"))
+
+
 def elect(partitions: DataFrame, dead: DataFrame) -> DataFrame:
     """Partitions led by a dead broker, with the first living member of their in-sync set (null if none)."""
     gone = dead.agg(F.collect_set("broker")).scalar()

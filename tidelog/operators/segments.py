@@ -1,12 +1,14 @@
 """Segments: rolling, statistics, location, indexes.
 
 Rolling by count is arithmetic. Rolling by bytes, time span, or any of several limits starts anew at each
-segment, which no window frame says; a partition's (offset, size, ts) go through one pass that finds each
-segment's end by bisection on running sums, so its cost is in segments, not messages.
+segment, which no window frame says; a partition's (offset, size, ts) stream through one pass in bounded
+memory, which finds segment ends by bisection on running sums.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -25,31 +27,58 @@ def should_roll(bytes_: Column | None = None, n: Column | None = None, age_us: C
     return out
 
 
+def first_at_least(values: np.ndarray, begin: int, limit: int) -> int:
+    """The first place from begin on whose value reaches limit, in whatever order the values are; their number if none."""
+    step = 256
+    while begin < len(values):
+        hit = values[begin : begin + step] >= limit
+        if hit.any():
+            return begin + int(hit.argmax())
+        begin, step = begin + step, step * 2
+    return len(values)
+
+
 def roll(log: DataFrame, max_bytes: int | None = None, max_count: int | None = None, span_us: int | None = None) -> DataFrame:
     """Segments of each partition: a message that would exceed a limit opens the next.
 
-    A message larger than max_bytes is an error.
+    A message larger than max_bytes is an error. A partition's rows arrive sorted (outside Python, where
+    sorting can spill) and in batches; only the open segment's figures are carried from one to the next.
     """
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("offset", kind="stable")
-        size, us, offset = (pdf[c].to_numpy() for c in ("size", "us", "offset"))
-        if max_bytes is not None and (size > max_bytes).any():
-            raise ValueError("a message is larger than a segment")
-        sums, begin, rows = np.concatenate([[0], np.cumsum(size)]), 0, []
-        while begin < len(size):
-            end = len(size)
-            if max_bytes is not None:
-                end = min(end, int(np.searchsorted(sums, sums[begin] + max_bytes, "right")) - 1)
-            if max_count is not None:
-                end = min(end, begin + max_count)
-            if span_us is not None:
-                end = min(end, max(begin + 1, int(np.searchsorted(us, us[begin] + span_us, "left"))))
-            rows.append((pdf.topic.iat[0], pdf.partition.iat[0], offset[begin], offset[end - 1], end - begin, int(sums[end] - sums[begin]), us[begin], us[end - 1]))
-            begin = end
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in SEGMENT.split(", ")])
-
-    return log.select(*PART, "offset", "size", F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).groupBy(*PART).applyInPandas(one, SEGMENT)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = [c.split()[0] for c in SEGMENT.split(", ")]
+        now: list | None = None  # the open segment, as a row
+        for pdf in batches:
+            rows = []
+            for (topic, partition), part in pdf.groupby(PART, sort=False, dropna=False):
+                if now is not None and now[:2] != [topic, partition]:
+                    rows.append(now)
+                    now = None
+                size, us, offset = (part[c].to_numpy() for c in ("size", "us", "offset"))
+                if max_bytes is not None and (size > max_bytes).any():
+                    raise ValueError("a message is larger than a segment")
+                sums, begin = np.concatenate([[0], np.cumsum(size)]), 0
+                while begin < len(size):
+                    n, held, first = (now[4], now[5], now[6]) if now is not None else (0, 0, us[begin])
+                    end = len(size)
+                    if max_bytes is not None:
+                        end = min(end, int(np.searchsorted(sums, sums[begin] + max_bytes - held, "right")) - 1)
+                    if max_count is not None:
+                        end = min(end, begin + max_count - n)
+                    if span_us is not None:
+                        end = min(end, first_at_least(us, begin + (n == 0), first + span_us))
+                    if end > begin:
+                        base = now[2] if now is not None else offset[begin]
+                        now = [topic, partition, base, offset[end - 1], n + end - begin, held + int(sums[end] - sums[begin]), first, us[end - 1]]
+                        begin = end
+                    if begin < len(size):  # a limit was met
+                        rows.append(now)
+                        now = None
+            yield pd.DataFrame(rows, columns=columns)
+        yield pd.DataFrame([now] if now is not None else [], columns=columns)
+
+    rows = log.select(*PART, "offset", "size", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    return rows.repartition(*PART).sortWithinPartitions(*PART, "offset").mapInPandas(run, SEGMENT)
 
 
 def by_count(log: DataFrame, max_count: int) -> DataFrame:

@@ -6,13 +6,14 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from tidelog.functions.routing import delay_ready, hash31, is_down, partition_of
+from tidelog.functions.routing import base_of, delay_ready, hash31, is_down, partition_of, segment_name
 from tidelog.operators import groups as G
 from tidelog.operators import iosim, placement
 from tidelog.operators import log as L
 from tidelog.operators import retention as R
 from tidelog.operators import segments as S
 from tidelog.sources import fixtures as X
+from tidelog.sources import metadata
 
 PART = L.PART
 QUERIES: dict = {}
@@ -406,6 +407,60 @@ def place_min_movement(spark, sf):
     return spark.createDataFrame([(p, i, b) for p, r in enumerate(moved) for i, b in enumerate(r)], "partition int, replica int, broker string")
 
 
+@query("membership_latest", """, ev as (
+  select broker, 'h' || k as address, false as gone, 1 as seq from brokers union all select broker, 'h' || (k + 100), false, 2 from brokers where k % 2 = 1
+  union all select broker, null, true, 3 from brokers where k % 5 = 0 union all select broker, 'r' || k, false, 4 from brokers where k % 10 = 0)
+  select broker, address from (select broker, last(address order by seq) as address, last(gone order by seq) as gone from ev group by broker) where not gone""")
+def membership_latest(spark, sf):
+    b, k = X.brokers(spark, sf), F.col("k")
+    change = lambda seq, when, address, gone: F.when(when, F.struct(address.alias("address"), F.lit(gone).alias("gone"), F.lit(seq).alias("seq")))
+    name = lambda prefix, number: F.concat(F.lit(prefix), number.cast("string"))
+    changes = F.array(change(1, F.lit(True), name("h", k), False), change(2, k % 2 == 1, name("h", k + 100), False), change(3, k % 5 == 0, F.lit(None).cast("string"), True), change(4, k % 10 == 0, name("r", k), False))
+    return metadata.latest(b.select("broker", F.inline(F.array_compact(changes))), ["broker"])
+
+
+@query("node_counts", "select node, count(*)::bigint as replicas, count(*) filter (leader = node)::bigint as leaders, count(*) filter (leader <> node)::bigint as followers from (select replicas[1] as leader, unnest(replicas) as node from placed) group by node")
+def node_counts(spark, sf):
+    return placement.node_counts(placement.round_robin(X.leo(spark, sf).select(*PART), X.brokers(spark, sf), 3))
+
+
+@query("node_partitions", """select role, topic, partition from placed, (select broker as b from brokers where k = 1), (values ('replica'), ('leader'), ('follower')) r(role)
+  where list_contains(replicas, b) and (role = 'replica' or (role = 'leader') = (replicas[1] = b))""")
+def node_partitions(spark, sf):
+    b = X.brokers(spark, sf)
+    placed = placement.round_robin(X.leo(spark, sf).select(*PART), b, 3).withColumn("node", b.where("k = 1").select("broker").scalar())
+    roles = F.array(*(F.when(metadata.node_role(F.col("node"), r), F.lit(r)) for r in ("replica", "leader", "follower")))
+    return placed.select(F.explode(F.array_compact(roles)).alias("role"), *PART)
+
+
+@query("isr_members", "select topic, partition, array_to_string(list_filter(list_append(replicas, 'spare'), lambda x: x <> b), ',') as isr from placed, (select min(broker) as b from brokers)")
+def isr_members(spark, sf):
+    brokers = X.brokers(spark, sf)
+    first = brokers.agg(F.min("broker")).first()[0]
+    placed = placement.round_robin(X.leo(spark, sf).select(*PART), brokers, 3)
+    return placed.select(*PART, F.array_join(metadata.changed(F.col("replicas"), ["spare"], [first]), ",").alias("isr"))
+
+
+@query("replica_lag", "select topic, partition, replicas[i] as node, (4 * (i - 1) * (partition + 1))::bigint as behind from placed, range(1, 4) x(i) where i < 3 or partition > 0")
+def replica_lag(spark, sf):
+    leo = X.leo(spark, sf)
+    placed = placement.round_robin(leo.select(*PART), X.brokers(spark, sf), 3)
+    rows = placed.join(leo, PART).select(*PART, "leo", F.posexplode("replicas").alias("i", "node")).where("i < 2 or partition > 0")
+    return placement.replica_lag(placed, rows.select(*PART, "node", (F.col("leo") - 4 * F.col("i") * (F.col("partition") + 1)).alias("offset")))
+
+
+@query("group_members", "select group_id, coalesce(consumer_id, group_id || '-consumer') as consumer_id from (values ('g1'), ('g2'), ('g3')) g(group_id) left join members using (group_id)")
+def group_members(spark, sf):
+    return G.members_or_default(spark.sql("select * from values ('g1'), ('g2'), ('g3') as t(group_id)"), X.members(spark))
+
+
+@query("segment_files", "select topic, partition, lpad(base::varchar, 20, '0') || '.log' as name, base from segments")
+def segment_files(spark, sf):
+    seg = S.by_count(X.log(spark, sf), COUNT)
+    named = seg.select(*PART, segment_name(F.col("base")).alias("name"))
+    return named.withColumn("base", base_of(F.col("name")))
+
+
 # Delivery
 
 KIND = "case when topic = 'purchase' then 'DELAYED' else 'NORMAL' end"
@@ -418,6 +473,19 @@ def delay_ready_(spark, sf):
     return rows.where(delay_ready(F.col("kind"), delay, F.col("ts"), F.col("now"))).select("topic", "id", "kind")
 
 
+@query("delay_drain", f"select topic, id, 'NORMAL' as kind from (select *, {KIND} as kind, 3600 * json_extract_string(body, '$.k')::bigint as d from log), (select max(ts) as now from events) where kind = 'DELAYED' and (d is null or now > ts + to_seconds(d))")
+def delay_drain(spark, sf):
+    rows = X.routed(spark, sf).withColumn("now", X.newest(spark, sf)).withColumn("kind", F.when(F.col("topic") == "purchase", "DELAYED").otherwise("NORMAL"))
+    delay = 3600 * F.get_json_object("body", "$.k").cast("long")
+    return L.drain(rows, delay_ready(F.col("kind"), delay, F.col("ts"), F.col("now"))).select("topic", "id", "kind")
+
+
+@query("known_topics", "select topic, count(*)::bigint as n from log where topic in ('click', 'view') group by all")
+def known_topics(spark, sf):
+    topics = spark.sql("select * from values ('click'), ('view'), ('absent') as t(topic)")
+    return L.known(X.routed(spark, sf), topics).groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("dead_letter_route", "select case when (seq * 7) % 6 >= 5 then 'dead-letter' else topic end as topic, id, topic as origin from log")
 def dead_letter_route(spark, sf):
     return X.routed(spark, sf).select(F.when((F.col("seq") * 7) % 6 >= 5, "dead-letter").otherwise(F.col("topic")).alias("topic"), "id", F.col("topic").alias("origin"))
@@ -480,3 +548,9 @@ def io_coalesce(spark, sf):
   select cache, hits::bigint as hits, (total - hits)::bigint as misses, (total - hits - least(40, pages))::bigint as evictions from f""")
 def lru_stats(spark, sf):
     return iosim.lru(X.routed(spark, sf).select(F.col("topic").alias("cache"), "seq", F.col("key").alias("page")), 40)
+
+
+@query("io_stats", "select case partition when 0 then 'read' when 1 then 'write' else 'sync' end as op, count(*)::bigint as n, sum(size)::bigint as bytes, count(*) filter (value < 5)::bigint as errors from log group by all")
+def io_stats(spark, sf):
+    op = F.when(F.col("partition") == 0, "read").when(F.col("partition") == 1, "write").otherwise("sync")
+    return iosim.io_stats(X.routed(spark, sf).select(op.alias("op"), F.col("size").alias("bytes"), (F.col("value") < 5).alias("failed")))

@@ -28,9 +28,11 @@ class LogStore:
         rows = self.read() if before is None else self.read().where(F.col("batch") < before)
         return rows.groupBy(*PART).agg((F.max("offset") + 1).alias("next_offset"))
 
-    def publish(self, messages: DataFrame, batch: int, keyed: bool = False) -> None:
+    def publish(self, messages: DataFrame, batch: int, keyed: bool = False, topics: DataFrame | None = None) -> None:
         """messages: (topic, id, key, body, ts[, kind, attributes]). Offsets go on where earlier batches end.
 
+        topics: (topic, partitions), where topics differ in their number of partitions; others have the store's.
+
         Messages without an id get one; a replayed batch must then be given with the ids it had.
         """
         have = messages.columns
@@ -39,7 +41,11 @@ class LogStore:
             "attributes": F.col("attributes") if "attributes" in have else F.lit(None).cast("map<string,string>"),
             "id": F.coalesce("id", F.uuid()),
         })
-        route = keyed_partition(F.col("key") if keyed else F.lit(None).cast("string"), F.col("id"), self.partitions)
+        count = F.lit(self.partitions)
+        if topics is not None:
+            full = full.join(topics.select("topic", F.col("partitions").alias("__n")), "topic", "left")
+            count = F.coalesce("__n", count)
+        route = keyed_partition(F.col("key") if keyed else F.lit(None).cast("string"), F.col("id"), count)
         full = full.withColumn("partition", route).withColumn("size", message_size(F.col("id"), F.col("body")))
         placed = assign_offsets(full, ["ts", "id"], F.date_trunc("day", F.col("ts")), self.end_offsets(batch))
         rows = placed.withColumn("batch", F.lit(batch).cast("long")).select(*(c.split()[0] for c in SCHEMA.split(", ")))
