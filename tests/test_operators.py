@@ -247,3 +247,12 @@ def test_metadata_follows_nodes(spark, tmp_path):
 def test_segment_names(spark):
     rows = spark.createDataFrame([("t-0/00000000000000000120.log",), ("00000000000000000000.log",), ("x.index",), ("x.log",)], "n string")
     assert [r[0] for r in rows.select(routing.base_of(F.col("n"))).collect()] == [120, 0, None, None]
+
+
+def test_offsets_keep_rows_with_nulls(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [("t", 0, "a", t0), ("t", 0, "b", None), ("t", 0, "c", None), (None, 0, "d", t0), (None, 0, "e", t0 + dt.timedelta(days=2))]
+    df = spark.createDataFrame(rows, "topic string, partition int, id string, ts timestamp")
+    got = log.assign_offsets(df, ["ts", "id"], F.date_trunc("day", F.col("ts"))).collect()
+    assert {r.id: r.offset for r in got} == {"b": 0, "c": 1, "a": 2, "d": 0, "e": 1}
+    assert log.assign_offsets(df.limit(0), ["ts", "id"], F.date_trunc("day", F.col("ts"))).count() == 0

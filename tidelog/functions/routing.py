@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 
 def hash31(text: Column) -> Column:
     """h = 31 h + code point, kept to 31 bits at each step; not Spark's hash()."""
-    points = F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("long"))
-    return F.aggregate(points, F.lit(0).cast("long"), lambda h, c: (h * 31 + c).bitwiseAND(F.lit(0x7FFFFFFF).cast("long")))
+    return F.aggregate(F.split(text, ""), F.lit(0).cast("long"), lambda h, c: (h * 31 + F.ascii(c)).bitwiseAND(F.lit(0x7FFFFFFF).cast("long")))
 
 
 def partition_of(text: Column, partitions: int | Column) -> Column:

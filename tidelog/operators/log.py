@@ -6,6 +6,8 @@ each (topic, partition).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,9 +24,12 @@ def assign_offsets(df: DataFrame, order: list[str], bucket: Column, base: DataFr
     marked = df.withColumn("__b", bucket)
     counts = marked.groupBy(*PART, "__b").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*PART).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*PART, "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    inside = Window.partitionBy(*PART, "__b").orderBy(*order)
-    out = marked.withColumn("__r", F.row_number().over(inside)).join(starts, [*PART, "__b"])
+    keys = [*PART, "__b"]
+    starts = counts.select(*(F.col(c).alias(f"__s_{c}") for c in keys), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    inside = Window.partitionBy(*keys).orderBy(*order)
+    numbered = marked.withColumn("__r", F.row_number().over(inside))
+    same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"__s_{c}")) for c in keys))
+    out = numbered.join(starts, same).drop(*(f"__s_{c}" for c in keys))
     if base is not None:
         out = out.join(base, PART, "left")
     first = F.coalesce(F.col("next_offset"), F.lit(0)) if base is not None else F.lit(0)
