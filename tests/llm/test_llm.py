@@ -214,6 +214,32 @@ def test_segmentations_sum_to_one():
     assert all(0 <= x <= 1 for ps in p for x in ps)
 
 
+def test_long_regions_are_one_programme():
+    field = pii.trained()
+    text = "555-123-4567 " * 100
+    _, every = pii.find(text, field)
+    assert every["phone"] == [(13 * i, 13 * i + 12) for i in range(100)]
+    assert pii.redact(text, every) == "[PHONE] " * 100
+    r = random.Random(5)
+    for _ in range(5):  # numbers of many shapes, against the programme as marginals() has it
+        text = "".join("".join(r.choice("0123456789") for _ in range(r.choice((3, 3, 4, 4, 7, 16)))) + r.choice(" -./") for _ in range(300)) + "1"
+        ((a, b),) = pii.regions(text)
+        tokens, segs = pii.lattice(text, a, b)
+        weights = field.weigh(segs)
+        _, p = field.marginals(len(tokens), segs, weights)
+        top = [(0.0, ())]  # the best segmentation up to each token, in full
+        for t in range(1, len(tokens) + 1):
+            top.append(max([top[-1], *((top[i][0] + weights[x][k], (*top[i][1], (x, k))) for x, (i, j, _) in enumerate(segs) if j == t for k in range(pii.NONE))]))
+        want = [(segs[x][0], segs[x][1], k, p[x][k]) for x, k in top[-1][1] if p[x][k] >= 0.9]
+        got = field.spans(len(tokens), segs, 0.9)
+        assert [g[:3] for g in got] == [w[:3] for w in want] and len(tokens) > 512
+        assert [g[3] for g in got] == pytest.approx([w[3] for w in want])
+        taken = [s for spans in pii.base(text).values() for s in spans]
+        found = {(pii.KINDS[k], tokens[i][0], tokens[j - 1][1]) for i, j, k, _ in got}
+        own, every = pii.find(text, field)
+        assert {(k, *s) for k in pii.KINDS for s in every[k]} - {(k, *s) for k in pii.KINDS for s in own[k]} == {(k, a, b) for k, a, b in found if not any(s < b and a < e for s, e in taken)}
+
+
 def test_personal_data_query_and_odd_rows(spark, odd):
     want = {}
     for d, t in pd.read_parquet(f"{SF}/documents.parquet")[["doc_id", "text"]].itertuples(index=False):

@@ -9,8 +9,9 @@ groups, separators, checksum, neighbours). A span is added if its posterior prob
 segmentations of its region, is at least ``least`` and it overlaps no base span.
 
 The weights are trained here, by maximum likelihood on generated regions (seeded, so every run has the
-same weights). Null texts are empty and have no span. Texts are taken whole; a region's dynamic programme
-runs over at most MOST_TOKENS tokens at a time and carries on from there.
+same weights). Null texts are empty and have no span. Texts are taken whole, and so is a region: its dynamic
+programme runs over all its tokens, in time linear in them, as a segment holds at most LONGEST. Of a segment
+its ends and weights are kept as plain numbers, of its features nothing.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ import hashlib
 import math
 import random
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -91,8 +93,8 @@ def base(text: str) -> dict[str, list[Span]]:
 DIGITS = re.compile(r"\+?\(?[0-9](?:[0-9]|[\x20().+/_-]{1,3}(?=[0-9(+]))*+")
 AFTER = re.compile(r"\x20?[A-Za-z0-9.-]{0,255}")
 TOKEN = re.compile(r"[0-9]+|[A-Za-z]+|@|[^0-9A-Za-z@]")
-#: Tokens that an entity holds at most; tokens of one dynamic programme.
-LONGEST, MOST_TOKENS, MOST_DIGITS = 23, 256, 19
+#: Tokens and digits that an entity holds at most.
+LONGEST, MOST_DIGITS = 23, 19
 LABELS = (*KINDS, "none")
 NONE = len(KINDS)
 
@@ -141,7 +143,11 @@ def features(text: str, begin: int, end: int, groups: int) -> tuple[str, ...]:
 def lattice(text: str, begin: int, end: int) -> tuple[list[Span], list[tuple[int, int, tuple[str, ...]]]]:
     """Tokens, and candidate segments (first token, one past its last, features) of two or more tokens or many digits."""
     tokens = [m.span() for m in TOKEN.finditer(text, begin, end)]
-    out = []
+    return tokens, list(candidates(text, tokens))
+
+
+def candidates(text: str, tokens: list[Span]) -> Iterator[tuple[int, int, tuple[str, ...]]]:
+    """The lattice's segments, one by one, in the order of their first tokens."""
     for i, (a, _) in enumerate(tokens):
         if text[a] not in "+(" and not text[a].isalnum():
             continue
@@ -151,8 +157,7 @@ def lattice(text: str, begin: int, end: int) -> tuple[list[Span], list[tuple[int
             if digits > MOST_DIGITS and "@" not in text[a:b]:
                 break
             if text[b - 1].isalnum() and (digits >= 8 or "@" in text[a:b]):
-                out.append((i, j, features(text, a, b, sum(text[x].isdigit() for x, _ in tokens[i:j]))))
-    return tokens, out
+                yield i, j, features(text, a, b, sum(text[x].isdigit() for x, _ in tokens[i:j]))
 
 
 class Field:
@@ -200,24 +205,44 @@ class Field:
                     sums[key] = sums.get(key, 0.0) + g * g
                     self.w[key] = self.w.get(key, 0.0) + step * g / math.sqrt(sums[key] + 1e-6)
 
-    def spans(self, n: int, segs: list, least: float) -> list[tuple[int, int, int, float]]:
-        """Best segmentation's entities (first token, one past the last, kind, posterior), of posterior least or more."""
-        weights = self.weigh(segs)
-        _, p = self.marginals(n, segs, weights)
-        top: list[tuple[float, int, int]] = [(0.0, -1, -1)]
-        into: list[list[int]] = [[] for _ in range(n + 1)]
-        for x, (_, j, _) in enumerate(segs):
-            into[j].append(x)
-        for t in range(1, n + 1):
-            top.append(max([(top[t - 1][0], -1, -1), *((top[segs[x][0]][0] + w, x, k) for x in into[t] for k, w in enumerate(weights[x]))]))
+    def spans(self, n: int, segs: Iterable, least: float) -> list[tuple[int, int, int, float]]:
+        """Best segmentation's entities (first token, one past the last, kind, posterior), of posterior least or more. segs come in the order of their first tokens."""
+        first, last, weights = array("q"), array("q"), array("d")
+        for seg in segs:
+            first.append(seg[0])
+            last.append(seg[1])
+            weights.extend(self.weigh([seg])[0])
+        if not first:
+            return []
+        nothing = array("d", [-math.inf]) * n
+        ahead, top, back = array("d", [0.0]) + nothing, array("d", [0.0]) + nothing, array("d", [0.0]) * (n + 1)
+        via = array("q", [-1]) * (n + 1)  # the (segment, kind) that ends at a token, or -1
+        x = 0
+        for t in range(n + 1):
+            if t:
+                ahead[t] = logsum([ahead[t], ahead[t - 1]])
+                if top[t - 1] > top[t]:
+                    top[t], via[t] = top[t - 1], -1
+            while x < len(first) and first[x] == t:
+                j, ws = last[x], weights[x * NONE : (x + 1) * NONE]
+                ahead[j] = logsum([ahead[j], ahead[t] + logsum(ws)])
+                for k, w in enumerate(ws):
+                    if top[t] + w >= top[j]:
+                        top[j], via[j] = top[t] + w, x * NONE + k
+                x += 1
+        for t in range(n - 1, -1, -1):
+            back[t] = back[t + 1]
+            while x and first[x - 1] == t:
+                x -= 1
+                back[t] = logsum([back[t], back[last[x]] + logsum(weights[x * NONE : (x + 1) * NONE])])
         out, t = [], n
         while t:
-            _, x, k = top[t]
-            if x >= 0:
-                i, j, _ = segs[x]
-                if p[x][k] >= least:
-                    out.append((i, j, k, p[x][k]))
-                t = i
+            if via[t] >= 0:
+                x, k = divmod(via[t], NONE)
+                p = math.exp(min(0.0, ahead[first[x]] + weights[via[t]] + back[t] - ahead[n]))
+                if p >= least:
+                    out.append((first[x], t, k, p))
+                t = first[x]
             else:
                 t -= 1
         return out[::-1]
@@ -296,15 +321,12 @@ def find(text: str, field: Field, least: float = 0.9) -> tuple[dict[str, list[Sp
         if x < len(taken) and taken[x][0] <= a and taken[x][1] >= b:
             continue  # a base span is all of it
         tokens = [t.span() for t in TOKEN.finditer(text, a, b)]
-        for i in range(0, len(tokens), MOST_TOKENS):
-            part = tokens[i : i + MOST_TOKENS]
-            marks, segs = lattice(text, part[0][0], part[-1][1])
-            if segs:
-                for i0, j0, k, _ in field.spans(len(marks), segs, least):
-                    begin, end = marks[i0][0], marks[j0 - 1][1]
-                    if not overlaps(taken, begin, end) and not any(p < end and begin < q for _, p, q in added[-8:]):
-                        added.append((k, begin, end))
-    return own, {kind: sorted(own[kind] + [(a, b) for k, a, b in added if k == n]) for n, kind in enumerate(KINDS)}
+        for i, j, k, _ in field.spans(len(tokens), candidates(text, tokens), least):
+            begin, end = tokens[i][0], tokens[j - 1][1]
+            at = bisect.bisect_left(added, (begin, end))  # those added don't overlap each other
+            if not overlaps(taken, begin, end) and not any(p < end and begin < q for p, q, _ in added[max(0, at - 1) : at + 1]):
+                added.insert(at, (begin, end, k))
+    return own, {kind: sorted(own[kind] + [(a, b) for a, b, k in added if k == n]) for n, kind in enumerate(KINDS)}
 
 
 def overlaps(spans: list[Span], begin: int, end: int) -> bool:
