@@ -240,6 +240,14 @@ def test_long_regions_are_one_programme():
         assert {(k, *s) for k in pii.KINDS for s in every[k]} - {(k, *s) for k in pii.KINDS for s in own[k]} == {(k, a, b) for k, a, b in found if not any(s < b and a < e for s, e in taken)}
 
 
+def test_long_local_parts_are_whole():
+    for local in ("a" * 64, "abcdefghij" * 12, "first.last+" + "x" * 90, "n" * 5000):
+        text = f"mail {local} @ example.com ok"
+        _, every = pii.find(text, pii.trained())
+        assert [text[a:b] for a, b in every["email"]] == [f"{local} @ example.com"]
+        assert pii.redact(text, every) == "mail [EMAIL] ok"
+
+
 def test_personal_data_query_and_odd_rows(spark, odd):
     want = {}
     for d, t in pd.read_parquet(f"{SF}/documents.parquet")[["doc_id", "text"]].itertuples(index=False):

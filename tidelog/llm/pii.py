@@ -100,12 +100,12 @@ NONE = len(KINDS)
 
 
 def regions(text: str) -> list[Span]:
-    """Runs of digits and their separators with eight digits or more, and what stands beside each @ (64 characters before it)."""
+    """Runs of digits and their separators with eight digits or more, and what stands beside each @: the whole run of local characters before it, and AFTER."""
     out = [m.span() for m in DIGITS.finditer(text) if m.end() - m.start() >= 8 and sum("0" <= c <= "9" for c in m[0]) >= 8]
     at = text.find("@")
     while at >= 0:
         begin = at - (at > 0 and text[at - 1] == " ")
-        while begin > max(0, at - 64) and LOCAL_END.match(text, begin - 1):
+        while begin > 0 and LOCAL_END.match(text, begin - 1):
             begin -= 1
         out.append((begin, AFTER.match(text, at + 1).end()))
         at = text.find("@", at + 1)
