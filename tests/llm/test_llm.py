@@ -108,6 +108,19 @@ def test_language_odd_rows(spark, odd, docs):
     assert {r.lang_pred for r in langid.identify(odd, empty).collect()} == {"und"}
 
 
+def test_an_unlearned_language_of_the_same_letters_is_rejected():
+    rows = pd.read_parquet("/root/testdata/sf0.1/documents.parquet", columns=["doc_id", "text", "lang"]).sort_values("doc_id")
+    texts = {x: g.text.tolist() for x, g in rows.groupby("lang")}
+    for hidden in texts:
+        model = langid.fit({x: t[:400] for x, t in texts.items() if x != hidden})
+        assert np.mean(model.predict(texts[hidden][400:600])[3]) > 0.8
+        kept = [t for x in texts if x != hidden for t in texts[x][400:600]]
+        assert np.mean(model.predict(kept)[3]) < 0.003
+    model = langid.fit({x: t[:400] for x, t in texts.items()})
+    mixed = [" ".join(t) for t in zip(*(t[400:420] for t in texts.values()), strict=True)]
+    assert not any(model.predict([*mixed, *(f"{t[7].split()[0]} " * 300 for t in texts.values())])[3])
+
+
 # Toxicity
 
 

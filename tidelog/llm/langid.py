@@ -3,9 +3,13 @@
 One model per language, of order 5, over lower-case letters with every other run of characters as one
 space. The languages' n-grams share sorted arrays of 64-bit hashes, one per order; beside each hash
 stand its interpolated log probabilities in every language and, by context, the back-off weights. A text goes to
-the language of lowest cross-entropy per character. What no language explains is rejected: its
-cross-entropy is over twice the mean of calibration texts of that language, left out of the model, and
-eight standard deviations above it at the text's length.
+the language of lowest cross-entropy per character. What no language explains is rejected. The limit is
+calibrated on texts left out of the model, each read once with its own language and once as if that had
+not been learned: it lies a third of the way from the one to the other (ten robust standard deviations above the own median, at
+least), or eight standard deviations of a text that holds as few letters in different words. It's never over the
+larger of twice the own mean and eight standard deviations at the text's length, which alone holds where
+fewer than two languages are learned. A text over the limit stays if its pieces, each in the
+language that suits it best, are not: it mixes languages that are learned.
 
 Fitting takes at most ``docs_per_lang`` rows of each language (those of smallest hash of the id; a fit
 is a bounded sample by design), scoring takes every text whole. Null texts and texts without a letter
@@ -15,6 +19,7 @@ are ``und`` with score 0. With no row to learn from, every text is ``und``.
 from __future__ import annotations
 
 import functools
+import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,6 +33,8 @@ from tidelog.llm.common import crc_mod, ship, steps, table, unit_hash
 
 ORDER, ALPHABET = 5, 65536
 UND = "und"
+#: Characters of a text that are taken to be in one language, where the whole fits none.
+PIECE = 200
 #: Odd multipliers, one for each place of an n-gram.
 PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -53,6 +60,11 @@ def normal(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.where(is_letter, points, 32)[keep], begins, n_letters
 
 
+def distinct_letters(text: str) -> int:
+    """Letters in the different words of a text."""
+    return sum(len(w) for w in set(re.findall(r"[^\W\d_]+", text.lower())))
+
+
 def hashes(points: np.ndarray) -> list[np.ndarray]:
     """[n - 1][i]: hash of the n characters that end at i; for i < n - 1 the missing ones count as nothing."""
     total, out = np.zeros(len(points), np.uint64), []
@@ -108,6 +120,7 @@ class Model:
     mean: np.ndarray
     spread: np.ndarray
     noise: np.ndarray
+    edge: np.ndarray  # what a long text may have above the mean
     warmth: float = 1.0
 
     def entropy(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -134,10 +147,17 @@ class Model:
         counts = np.diff(np.append(begins, len(points)))
         return -sums / np.maximum(counts, 1)[:, None], n_letters
 
-    def rejects(self, entropy: np.ndarray, best: np.ndarray, n: np.ndarray) -> np.ndarray:
+    def rejects(self, entropy: np.ndarray, best: np.ndarray, n: np.ndarray, texts: list[str]) -> np.ndarray:
         low = entropy[np.arange(len(best)), best]
-        room = np.sqrt(self.spread[best] ** 2 + self.noise[best] ** 2 / np.maximum(n, 1))
-        return low > self.mean[best] + np.maximum(8 * room, self.mean[best])
+        over, noise = low - self.mean[best], self.noise[best]
+        most = np.maximum(8 * np.sqrt(self.spread[best] ** 2 + noise**2 / np.maximum(n, 1)), self.mean[best])
+        out = over > np.minimum(most, np.maximum(self.edge[best], 8 * noise / np.sqrt(np.maximum(n, 1))))
+        for i in np.flatnonzero(out):
+            h, m = self.entropy([texts[i][p : p + PIECE] for p in range(0, len(texts[i]), PIECE)])
+            mixed = ((h.min(axis=1) - self.mean[h.argmin(axis=1)]) * m).sum() / max(m.sum(), 1)
+            few = 8 * noise[i] / np.sqrt(max(distinct_letters(texts[i]), 1))  # repeated words tell no more than one of them
+            out[i] = min(over[i], mixed) > min(most[i], max(self.edge[best[i]], few))
+        return out
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Language, its share of the posterior, cross-entropy, and whether it's rejected."""
@@ -148,7 +168,7 @@ class Model:
         margin = (h - h.min(axis=1, keepdims=True)) * np.sqrt(np.maximum(n, 1))[:, None] * self.warmth
         share = 1 / np.exp(-margin).sum(axis=1)
         none = n == 0
-        rejected = self.rejects(h, best, n) | none
+        rejected = self.rejects(h, best, n, texts) | none
         langs = [UND if x else self.langs[b] for b, x in zip(best, none, strict=True)]
         return langs, np.where(none, 0.0, share), np.where(none, np.nan, h[np.arange(len(best)), best]), rejected
 
@@ -210,16 +230,25 @@ def fit(samples: dict[str, list[str]]) -> Model:
         backoff.append(left)
     unseen = (backoff[0][0] if len(backoff[0]) else 0) - np.float32(np.log(ALPHABET))
     some = lambda x: x if len(x) else np.zeros((1, len(langs)), np.float32)
-    model = Model(langs, [Sorted.of(k) for k in grams], [some(x) for x in logp], [Sorted.of(k) for k in contexts], [some(x) for x in backoff], unseen, *np.zeros((3, len(langs))))
+    model = Model(langs, [Sorted.of(k) for k in grams], [some(x) for x in logp], [Sorted.of(k) for k in contexts], [some(x) for x in backoff], unseen, *np.zeros((4, len(langs))))
     model.mean, model.spread, model.noise = np.zeros(len(langs)), np.zeros(len(langs)), np.full(len(langs), 2.0)
-    margins = []
+    margins, usual = [], np.zeros(len(langs))
     for k, x in enumerate(langs):
         h, n = model.entropy(spare[x])
         long = n >= 20
         own = h[long, k] if long.any() else h[:, k]
         if len(own):
             model.mean[k], model.spread[k] = own.mean(), own.std()
+            middle = np.median(own)
+            usual[k] = middle + 10 * 1.4826 * np.median(np.abs(own - middle)) - own.mean()
         margins.append((h, n, k))
+    model.edge = np.full(len(langs), np.inf)
+    apart = []  # of texts whose language is hidden, cross-entropy over the mean of the language they go to then
+    for h, n, k in margins if len(langs) > 1 else ():
+        h = np.where(np.arange(len(langs)) == k, np.inf, h[n >= 20])
+        apart.extend(h.min(axis=1) / np.maximum(model.mean[h.argmin(axis=1)], 1e-9))
+    if apart:
+        model.edge = np.maximum(model.mean * (np.median(apart) - 1) / 3, usual)
     loss = lambda w: sum(-np.log(np.maximum(1e-9, np.exp(-(h[:, k] - h.min(1)) * np.sqrt(np.maximum(n, 1)) * w) / np.exp(-(h - h.min(1, keepdims=True)) * np.sqrt(np.maximum(n, 1))[:, None] * w).sum(1))).sum() for h, n, k in margins)
     model.warmth = min((0.25, 0.5, 1.0, 2.0, 4.0), key=loss)
     return model
