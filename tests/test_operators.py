@@ -120,6 +120,13 @@ def test_lru(spark):
     assert (got.hits, got.misses, got.evictions) == (3, 5, 2)
 
 
+def test_lru_of_a_null_cache(spark):
+    rows = [(c, i, p) for c in (None, "c", "") for i, p in enumerate("abcabdae" * 2000)]  # more than one batch
+    got = iosim.lru(spark.createDataFrame(rows, "cache string, seq bigint, page string"), 3).collect()
+    assert len(got) == 3 and {r.cache for r in got} == {None, "c", ""}
+    assert len({(r.hits, r.misses, r.evictions) for r in got}) == 1 and all(r.hits + r.misses == 16000 for r in got)
+
+
 def test_out_of_range(spark):
     rows = spark.createDataFrame([(5,), (15,)], "first_offset bigint")
     assert [r[0] for r in rows.select(log.check_range(F.lit(10), "earliest")).collect()] == [10, 15]

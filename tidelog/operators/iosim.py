@@ -23,7 +23,7 @@ def io_stats(requests: DataFrame) -> DataFrame:
 
 
 def lru(accesses: DataFrame, capacity: int) -> DataFrame:
-    """accesses: (cache, seq, page). Hits, misses and evictions of an LRU cache of that capacity, by cache.
+    """accesses: (cache, seq, page). Hits, misses and evictions of an LRU cache of that capacity, by cache; null is a cache.
 
     A cache is a sequential machine: its accesses, sorted outside Python, stream through one task, which
     holds at most capacity pages.
@@ -34,6 +34,7 @@ def lru(accesses: DataFrame, capacity: int) -> DataFrame:
         for pdf in batches:
             rows = []
             for cache, part in pdf.groupby("cache", sort=False, dropna=False):
+                cache = None if pd.isna(cache) else cache
                 if begun and cache != name:
                     rows.append((name, *figures))
                     held, figures = {}, [0, 0, 0]
@@ -51,5 +52,5 @@ def lru(accesses: DataFrame, capacity: int) -> DataFrame:
             yield pd.DataFrame(rows, columns=["cache", "hits", "misses", "evictions"])
         yield pd.DataFrame([(name, *figures)] if begun else [], columns=["cache", "hits", "misses", "evictions"])
 
-    rows = accesses.select("cache", "seq", "page").where(F.col("cache").isNotNull())
+    rows = accesses.select("cache", "seq", "page")
     return rows.repartition("cache").sortWithinPartitions("cache", "seq").mapInPandas(run, "cache string, hits bigint, misses bigint, evictions bigint")
