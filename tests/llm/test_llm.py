@@ -338,6 +338,18 @@ def test_mix(spark, docs, odd):
     assert mixing.mix(odd.limit(0)).count() == 0 and mixing.mixed_rows(odd.limit(0)).count() == 0
 
 
+def test_mix_of_repeated_rows(spark):
+    for seed in range(4):  # 100 rows alike among 300
+        rows = [(1, f"w{i % 2} b c d e", "a", i) for i in range(100)] + [(10 + i, "a b c d e", "a", i) for i in range(200)] + [(1000 + i, "x y", "b", i) for i in range(500)]
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string, n long")
+        got = mixing.mix(df, weights=(1, 1), factor=0.6, seed=seed).toPandas()
+        assert len(got) == len(rows) and (got[got.doc_id == 1]["size"] == 5).all()
+        for _, g in got.groupby("source"):
+            assert abs(g.taken.sum() - g.target.iat[0]) <= 5
+        taken = collections.Counter(r.doc_id for r in mixing.mixed_rows(df, weights=(1, 1), factor=0.6, seed=seed).collect())
+        assert taken == collections.Counter({d: int(c) for d, c in got.groupby("doc_id").copies.sum().items() if c})
+
+
 def test_shares():
     got = mixing.shares([(None, 10), ("b", 100), ("a", 10)], (5, 2, 1), 1.5, 2.0)
     assert [s for s, *_ in got] == ["a", "b", None]

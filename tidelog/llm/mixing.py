@@ -25,6 +25,8 @@ from tidelog.llm.common import cut, table, unit_hash
 
 WORDS = r"[^\x20\x09-\x0D]+"
 COARSE, FINE = 256, 4096
+#: Numbers that one array holds where rows are counted out.
+STRETCH = 65536
 
 
 def words(text: Column) -> Column:
@@ -61,9 +63,10 @@ def planned(docs: DataFrame, weights: tuple[float, ...], factor: float, most: fl
     edge = edge_bin(inner)
     order = Window.partitionBy("__e").orderBy("__q", "__k", "__size").rowsBetween(Window.unboundedPreceding, 0)
     inside = one.join(F.broadcast(edge), F.equal_null("__s", "__e") & (F.col("__bin") == F.col("__edge"))).withColumn("upto", F.col("before") + F.sum("__size").over(order))
-    last = cut(inside.where(F.col("upto") - F.col("__size") / 2 <= F.col("__rest")).groupBy("__e").agg(F.max(F.struct("__q", "__k", "__size")).alias("__last")).withColumnRenamed("__e", "__l"))
+    alike = inside.groupBy("__e", "__q", "__k", "__size").agg(F.count(F.lit(1)).alias("__n"), F.count_if(F.col("upto") - F.col("__size") / 2 <= F.col("__rest")).alias("__m")).where("__m > 0")
+    last = cut(alike.groupBy(F.col("__e").alias("__l")).agg(F.max(F.struct("__q", "__k", "__size", "__n", "__m")).alias("__top")).select("__l", F.struct(*(F.col("__top")[c].alias(c) for c in ("__q", "__k", "__size"))).alias("__last"), F.col("__top")["__n"].alias("__n"), F.col("__top")["__m"].alias("__m")))
     plans = targets.join(F.broadcast(edge.select("__e", "__edge")), F.equal_null("__source", "__e"), "left").join(F.broadcast(last), F.equal_null("__source", "__l"), "left")
-    return one, cut(plans.select("__source", "__source_size", "__target", "__whole", "__edge", "__last"))
+    return one, cut(plans.select("__source", "__source_size", "__target", "__whole", "__edge", "__last", F.col("__last")["__k"].alias("__last_k"), F.col("__last")["__size"].alias("__last_size"), "__n", "__m"))
 
 
 def edge_bin(bins: DataFrame) -> DataFrame:
@@ -83,11 +86,25 @@ def binned(q: str) -> Column:
     return F.floor(F.col(q) / (1 + F.col(q)) * (COARSE * FINE)).cast("int")
 
 
+def tied() -> Column:
+    """Whether a row is of the last ones drawn, of which not all are."""
+    return F.coalesce(F.equal_null(F.struct("__q", "__k", "__size"), F.col("__last")) & (F.col("__m") < F.col("__n")) & (F.col("__size") > 0), F.lit(False))
+
+
 def with_copies(rows: DataFrame, plans: DataFrame) -> DataFrame:
-    """rows (with __k, __s, __size, __q, __bin) and their source's plan, with __copies."""
+    """rows (with __k, __s, __size, __q, __bin) and their source's plan, with __copies; of tied rows the whole copies alone."""
     drawn = (F.col("__bin") < F.col("__edge")) | ((F.col("__bin") == F.col("__edge")) & (F.struct("__q", "__k", "__size") <= F.col("__last")))
     known = rows.join(F.broadcast(plans), F.equal_null("__s", "__source"))  # one row a source
-    return known.withColumn("__copies", F.col("__whole") + F.when(F.coalesce(drawn, F.lit(False)) & (F.col("__size") > 0), 1).otherwise(0))
+    return known.withColumn("__tied", tied()).withColumn("__copies", F.col("__whole") + F.when(F.coalesce(drawn, F.lit(False)) & (F.col("__size") > 0) & ~F.col("__tied"), 1).otherwise(0))
+
+
+def counted(n: Column) -> Column:
+    """0, STRETCH, ... below n: the stretches of a count, which numbers() lists."""
+    return F.sequence(F.lit(0).cast("long"), n - 1, F.lit(STRETCH).cast("long"))
+
+
+def numbers(begin: Column, n: Column) -> Column:
+    return F.sequence(begin, F.least(begin + STRETCH, n) - 1)
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), factor: float = 1.5, most: float = 2.0, odds: Column | None = None, seed: int = 11, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
@@ -95,10 +112,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), factor: float =
 
     odds: relative inclusion odds of a document in its source, positive (1 for all by default).
     Sources are a list on the driver (its length doesn't grow with documents); documents never are.
-    Rows that repeat an id, source and size are drawn alike.
+    Of rows that repeat an id, source and size, as many are drawn as the words that are left allow.
     """
     one, plans = planned(docs, weights, factor, most, odds, seed, text, source, key)
-    return with_copies(one, plans).select(F.col("__k").alias(key), F.col("__size").alias("size"), F.col("__s").alias("source"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__copies").alias("copies"), (F.col("__copies") * F.col("__size")).alias("taken"))
+    # Tied rows are equal in every column here, so they are counted out rather than numbered.
+    alike = plans.where("__m < __n AND __last_size > 0").withColumn("__i", F.explode(counted(F.col("__n")))).withColumn("__i", F.explode(numbers(F.col("__i"), F.col("__n"))))
+    alike = alike.select(F.col("__last_k").alias("__k"), F.col("__source").alias("__s"), F.col("__last_size").alias("__size"), "__source_size", "__target", (F.col("__whole") + (F.col("__i") < F.col("__m")).cast("long")).alias("__copies"))
+    rows = with_copies(one, plans).where(~F.col("__tied")).select(*alike.columns).union(alike)
+    return rows.select(F.col("__k").alias(key), F.col("__size").alias("size"), F.col("__s").alias("source"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__copies").alias("copies"), (F.col("__copies") * F.col("__size")).alias("taken"))
 
 
 def mixed_rows(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), factor: float = 1.5, most: float = 2.0, odds: Column | None = None, seed: int = 11, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
@@ -106,7 +127,18 @@ def mixed_rows(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), factor:
     _, plans = planned(docs, weights, factor, most, odds, seed, text, source, key)
     rows = docs.select(F.struct("*").alias("__row"), docs[key].alias("__k"), docs[source].alias("__s"), words(docs[text]).alias("__size"), rank(docs[key], odds, seed).alias("__q")).withColumn("__bin", binned("__q"))
     known = with_copies(rows, plans)
-    return known.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__copies").cast("int")))).select("__row.*")
+    out = known.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__copies").cast("int")))).select("__row.*")
+    if plans.where("__m < __n AND __last_size > 0").isEmpty():
+        return out
+    # Of tied rows, those of lowest hash of the whole row; equal rows are one row and its count.
+    alike = known.where("__tied").withColumn("__hash", F.xxhash64(F.to_json("__row", {"ignoreNullFields": "false"})))
+    groups = alike.groupBy("__s", "__hash").agg(F.count(F.lit(1)).alias("__held"), F.first("__m").alias("__m"))
+    before = F.sum("__held").over(Window.partitionBy("__s").orderBy("__hash")) - F.col("__held")
+    takes = groups.withColumn("__take", F.least("__held", F.col("__m") - before)).where("__take > 0").withColumn("__i", F.explode(counted(F.col("__take"))))
+    takes = cut(takes.select(F.col("__s").alias("__ts"), F.col("__hash").alias("__th"), F.least(F.col("__take") - F.col("__i"), F.lit(STRETCH)).cast("int").alias("__times")))
+    chosen = alike.groupBy("__s", "__hash").agg(F.first("__row").alias("__row")).join(takes, F.equal_null("__s", "__ts") & (F.col("__hash") == F.col("__th")))
+    again = chosen.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__times"))))
+    return out.unionByName(again.select("__row.*"))
 
 
 def query(spark, sf_dir):
