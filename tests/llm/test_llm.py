@@ -108,6 +108,13 @@ def test_language_odd_rows(spark, odd, docs):
     assert {r.lang_pred for r in langid.identify(odd, empty).collect()} == {"und"}
 
 
+def test_no_language_is_left_out_silently(docs):
+    n = docs.select("lang").distinct().count()
+    assert len(langid.learn(docs, max_langs=n).langs) == n
+    with pytest.raises(ValueError, match="languages"):
+        langid.learn(docs, max_langs=n - 1)
+
+
 def test_an_unlearned_language_of_the_same_letters_is_rejected():
     rows = pd.read_parquet("/root/testdata/sf0.1/documents.parquet", columns=["doc_id", "text", "lang"]).sort_values("doc_id")
     texts = {x: g.text.tolist() for x, g in rows.groupby("lang")}

@@ -257,12 +257,14 @@ def fit(samples: dict[str, list[str]]) -> Model:
 def learn(docs: DataFrame, rows: Column | None = None, text: str = "text", lang: str = "lang", key: str = "doc_id", docs_per_lang: int = 400, max_langs: int = 256, chars_per_lang: int = 4_000_000) -> Model:
     """A model of the rows that have a text and a language (of those, where rows holds).
 
-    The sample is bounded: docs_per_lang rows and about chars_per_lang characters for each of the
-    max_langs most frequent languages.
+    The sample is bounded: docs_per_lang rows and about chars_per_lang characters for each language. More
+    than max_langs languages are an error, as a model holds every n-gram for every language.
     """
     known = docs.select(docs[key].alias("k"), docs[text].alias("t"), docs[lang].alias("l")) if rows is None else docs.where(rows).select(docs[key].alias("k"), docs[text].alias("t"), docs[lang].alias("l"))
     known = known.where(F.col("t").isNotNull() & F.col("l").isNotNull() & (F.col("l") != UND)).withColumn("u", unit_hash(F.col("k")))
-    sizes = {r["l"]: r["count"] for r in known.groupBy("l").count().orderBy(F.desc("count"), "l").limit(max_langs).collect()}
+    sizes = {r["l"]: r["count"] for r in known.groupBy("l").count().orderBy(F.desc("count"), "l").limit(max_langs + 1).collect()}
+    if len(sizes) > max_langs:
+        raise ValueError(f"over {max_langs} languages to learn")
     if not sizes:
         return fit({})
     rate = F.lit(0.0)
