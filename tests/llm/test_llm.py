@@ -316,6 +316,17 @@ def test_sql(spark, run, sql, tables):
 # Mixing
 
 
+def inclusion(rows, left):
+    """Of (id, weight, size): pi proportional to weight, 1 at most, so that the expected words are those left."""
+    sure = set()
+    while True:
+        c = (left - sum(n for d, _, n in rows if d in sure)) / max(sum(w * n for d, w, n in rows if d not in sure), 1e-9)
+        more = {d for d, w, n in rows if d not in sure and n and c * w >= 1}
+        if not more:
+            return {d: 1.0 if d in sure else c * w * (n > 0) for d, w, n in rows}
+        sure |= more
+
+
 def test_mix(spark, docs, odd):
     got = mixing.mix(docs).toPandas()
     again = mixing.mix(docs.repartition(5)).toPandas()
@@ -328,16 +339,21 @@ def test_mix(spark, docs, odd):
         assert g.source_size.iat[0] == g["size"].sum() and g.target.iat[0] <= 2 * g["size"].sum() + 1e-9
         assert abs(g.taken.sum() - g.target.iat[0]) <= g["size"].max()
     assert got.groupby("source").target.first().sum() == pytest.approx(1.5 * got["size"].sum())
-    # The sample is the lowest ranks, as a plain sort has them.
-    ranks = {r.doc_id: r.q for r in docs.select("doc_id", mixing.rank(F.col("doc_id"), None, 11).alias("q")).collect()}
+    # The sample is the certain documents and the lowest ranks, as a plain sort has them.
+    us = {r.doc_id: r.u for r in docs.select("doc_id", mixing.unit_hash(F.col("doc_id"), F.xxhash64("text"), F.lit(11)).alias("u")).collect()}
     for _, g in got.groupby("source"):
-        rest, upto, drawn = g.target.iat[0] - (g.target.iat[0] // g.source_size.iat[0]) * g.source_size.iat[0], 0, set()
-        for d, s in sorted(zip(g.doc_id, g["size"], strict=True), key=lambda x: ranks[x[0]]):
-            upto += s
-            if upto - s / 2 > rest:
+        whole = int(g.target.iat[0] / g.source_size.iat[0])
+        pi = dict(zip(g.doc_id, g.expected - whole, strict=True))
+        n = dict(zip(g.doc_id, g["size"], strict=True))
+        want = inclusion([(d, np.log1p(n[d]), n[d]) for d in n], g.target.iat[0] - whole * g.source_size.iat[0])
+        assert all(abs(pi[d] - want[d]) < 0.02 for d in pi)
+        upto, drawn = sum(n[d] for d in pi if pi[d] >= 1), {d for d in pi if pi[d] >= 1}
+        rest = g.target.iat[0] - whole * g.source_size.iat[0]
+        for d in sorted((d for d in pi if 0 < pi[d] < 1), key=lambda d: us[d] / (1 - us[d]) / (pi[d] / (1 - pi[d]))):
+            upto += n[d]
+            if upto - n[d] / 2 > rest:
                 break
             drawn.add(d)
-        whole = int(g.target.iat[0] / g.source_size.iat[0])
         assert {d for d, c in zip(g.doc_id, g.copies, strict=True) if c > whole} == drawn
     assert mixing.mix(odd).count() == len(ROWS)
     rows = mixing.mixed_rows(odd)
@@ -345,22 +361,60 @@ def test_mix(spark, docs, odd):
     assert mixing.mix(odd.limit(0)).count() == 0 and mixing.mixed_rows(odd.limit(0)).count() == 0
 
 
+def test_mix_draws_by_inclusion_probability(spark):
+    # 500 sources alike, of the same 24 sizes: how often a size is drawn is its pi.
+    sizes = [1, 2, 3, 5, 8, 13, 21, 34] * 3
+    rows = [(1000 * s + i, "w " * n, f"s{s:03}", float(1 + i % 4)) for s in range(500) for i, n in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, w double")
+    for weight, w in ((None, [np.log1p(n) for n in sizes]), (F.col("w"), [1 + i % 4 for i in range(24)])):
+        got = mixing.mix(df, weights=(1,), factor=0.45, weight=weight).toPandas()
+        pi = inclusion([(i, w[i], n) for i, n in enumerate(sizes)], 0.45 * sum(sizes))
+        drawn = got.assign(i=got.doc_id % 1000).groupby("i").copies.mean()
+        assert got.copies.isin([0, 1]).all() and max(abs(drawn[i] - pi[i]) for i in pi) < 0.09
+        assert np.mean([abs(drawn[i] - pi[i]) for i in pi]) < 0.03 and np.ptp([drawn[i] for i in pi]) > 0.3
+        by = got.groupby("source")
+        assert (abs(by.taken.sum() - by.target.first()) <= 34).all()
+
+
+def test_mix_takes_certain_documents_whole(spark):
+    rows = [(i, "a b", "x", 1.0) for i in range(100)] + [(1000 + i, "a b c d", "x", 1e6) for i in range(5)] + [(2000 + i, "a", "x", w) for i, w in enumerate((0.0, -1.0, None))]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string, w double"), weights=(1,), factor=0.5, weight=F.col("w")).toPandas()
+    assert (got[got.doc_id.between(1000, 1999)].copies == 1).all() and (got[got.doc_id >= 2000].copies == 0).all()
+    assert abs(got.taken.sum() - 0.5 * (200 + 20 + 3)) <= 2
+
+
 def test_mix_of_repeated_rows(spark):
-    for seed in range(4):  # 100 rows alike among 300
-        rows = [(1, f"w{i % 2} b c d e", "a", i) for i in range(100)] + [(10 + i, "a b c d e", "a", i) for i in range(200)] + [(1000 + i, "x y", "b", i) for i in range(500)]
+    for seed in range(2):  # 100 rows alike among 300, 90 without an id
+        rows = [(1, "a b c d e", "a", i) for i in range(100)] + [(10 + i, "a b c d e", "a", i) for i in range(200)] + [(1000 + i, "x y", "b", i) for i in range(500)]
+        rows += [(None, f"w{i % 30} b c", "c", i) for i in range(90)] + [(None, "q r s", None, i) for i in range(60)]
         df = spark.createDataFrame(rows, "doc_id long, text string, source string, n long")
         got = mixing.mix(df, weights=(1, 1), factor=0.6, seed=seed).toPandas()
         assert len(got) == len(rows) and (got[got.doc_id == 1]["size"] == 5).all()
-        for _, g in got.groupby("source"):
+        for _, g in got.groupby("source", dropna=False):
             assert abs(g.taken.sum() - g.target.iat[0]) <= 5
-        taken = collections.Counter(r.doc_id for r in mixing.mixed_rows(df, weights=(1, 1), factor=0.6, seed=seed).collect())
-        assert taken == collections.Counter({d: int(c) for d, c in got.groupby("doc_id").copies.sum().items() if c})
+        again = mixing.mixed_rows(df, weights=(1, 1), factor=0.6, seed=seed).collect()
+        taken = collections.Counter((r.doc_id, r.source) for r in again)
+        assert taken == collections.Counter({(None if d != d else int(d), s if isinstance(s, str) else None): int(c) for (d, s), c in got.groupby(["doc_id", "source"], dropna=False).copies.sum().items() if c})
+        assert collections.Counter(again) == collections.Counter(mixing.mixed_rows(df.repartition(7), weights=(1, 1), factor=0.6, seed=seed).collect())
 
 
-def test_shares():
-    got = mixing.shares([(None, 10), ("b", 100), ("a", 10)], (5, 2, 1), 1.5, 2.0)
-    assert [s for s, *_ in got] == ["a", "b", None]
-    assert [t for *_, t in got] == pytest.approx([20, 140, 20]) and sum(t for *_, t in got) == pytest.approx(180)
+def test_shares(spark):
+    of = lambda rows, *a: {r["__s"]: r["__target"] for r in mixing.shares(spark.createDataFrame(rows, "__s string, __n long"), *a).collect()}
+    assert of([(None, 10), ("b", 100), ("a", 10)], (5, 2, 1), 1.5, 2.0) == pytest.approx({"a": 20, "b": 140, None: 20})
+    assert of([("a", 0)], (5, 2, 1), 1.5, 2.0) == {"a": 0} and of([], (5, 2, 1), 1.5, 2.0) == {}
+    # Many sources, in the order of code points, against the rule in plain Python.
+    r = random.Random(1)
+    rows = [(f"{r.choice('aZé中😀')}{i}", r.randint(0, 50) ** 3) for i in range(300)] + [(None, 70)]
+    order, weights = sorted(rows, key=lambda x: (x[0] is None, x[0] or "")), (5.0, 2.0, 1.0)
+    budget, capped = 1.5 * sum(n for _, n in rows), {}
+    while True:
+        free = [i for i in range(len(order)) if i not in capped]
+        level = (budget - sum(capped.values())) / sum(weights[i % 3] for i in free)
+        above = {i: 2.0 * order[i][1] for i in free if level * weights[i % 3] > 2.0 * order[i][1]}
+        if not above:
+            break
+        capped |= above
+    assert of(rows, weights, 1.5, 2.0) == pytest.approx({s: capped.get(i, level * weights[i % 3]) for i, (s, _) in enumerate(order)})
 
 
 # Vectors
@@ -502,6 +556,35 @@ def test_rollup(spark, odd):
     assert store.commit("3", first.limit(0)) and store.totals().count() == 0
 
 
+def test_rollup_compaction_loses_nothing(spark, odd):
+    rows = rollup.counts(odd, "words", rollup.word_count)
+    path = f"{shared_dir(spark)}/test-{uuid.uuid4().hex}"
+    store = rollup.Rollup(spark, path)
+    n = lambda: store.totals().agg(F.sum("n_docs")).first()[0]
+    for k, batch in enumerate(("b1", "b2", "b3")):  # a compaction retried with its own id, and with a batch's
+        assert store.commit(batch, rows)
+        assert store.compact("all") == (k == 0) and not store.compact("all") and not store.compact("b1")
+        assert n() == len(ROWS) * (k + 1)
+    assert store.compact("again") and not store.compact("all") and n() == 3 * len(ROWS)
+    assert store.covered() == {"b1", "b2", "b3", "all", "again"} and store.committed() == ["again"]
+    # A batch between a compaction's listing and its marker stays in force.
+    late = rollup.Rollup(spark, path)
+    mark = late._mark
+    late._mark = lambda *a: (store.commit("between", rows), mark(*a))[1]
+    assert late.compact("third") and n() == 4 * len(ROWS) and store.committed() == ["between", "third"]
+    # Two writers of one batch: one marker. A compaction that dies before it deletes changes nothing.
+    slow = rollup.Rollup(spark, path)
+    mark_slow = slow._mark
+    slow._mark = lambda *a: (store.commit("twice", rows), mark_slow(*a))[1]
+    assert not slow.commit("twice", rows) and n() == 5 * len(ROWS)
+    dying = rollup.Rollup(spark, path)
+    dying._sweep = lambda markers: None
+    assert dying.compact("fourth") and n() == 5 * len(ROWS) and store.committed() == ["fourth"]
+    assert not store.commit("twice", rows) and not store.compact("fourth") and n() == 5 * len(ROWS)
+    clash = odd.withColumns({c: F.lit(1) for c in ("sign", "tokenizer", "n_tokens", "n_docs")})
+    assert store.commit("clash", rollup.counts(clash, "words", rollup.word_count, -1)) and n() == 4 * len(ROWS)
+
+
 def test_rollup_query(spark, coder):
     want = collections.defaultdict(lambda: [0, 0, 0])
     for d, t, lang, s in pd.read_parquet(f"{SF}/documents.parquet")[["doc_id", "text", "lang", "source"]].itertuples(index=False):

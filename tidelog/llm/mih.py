@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.cells import best_of, matrix, search, usable
-from tidelog.llm.common import cut, table, unit_hash
+from tidelog.llm.common import saved, table, unit_hash
 
 BITS, PIECE = 64, 8
 PIECES = BITS // PIECE
@@ -149,7 +149,7 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id",
             out.append((np.full(len(found), i), ids[found], s))
         return tuple(np.concatenate(z) for z in zip(*out, strict=True))
 
-    one = cut(search(rows, asked.withColumn("extra", F.lit(codes.first)), n, n_queries, width, k, run, "double", shard_rows))
+    one = saved(search(rows, asked.withColumn("extra", F.lit(codes.first)), n, n_queries, width, k, run, "double", shard_rows))
     worst = one.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("s"))
     b, tail = codes.turn.shape[1], codes.tail
     length = F.sqrt(norm)
