@@ -282,23 +282,66 @@ def test_personal_data_query_and_odd_rows(spark, odd):
 # Chat
 
 
+CONTROL = ["\\", "#", "###", "</turn>", "</turn>\n", "### user: ", ": ", "/", "<", "a", "\n", "\u0001", "é😀"]
+
+
+def chat_by_grammar(s):
+    """The turns of a formatted text, read character by character."""
+    out, i = [], 0
+
+    def upto(end):
+        nonlocal i
+        got = []
+        while not s.startswith(end, i):
+            assert i < len(s) and not s.startswith("###", i) and not s.startswith("</turn>", i)
+            i += s[i] == "\\"
+            got.append(s[i])
+            i += 1
+        i += len(end)
+        return "".join(got)
+
+    while i < len(s):
+        assert s.startswith("### ", i)
+        i += 4
+        out.append((upto(": "), upto("</turn>\n")))
+    return out
+
+
 def test_chat_reads_back(spark):
+    r = random.Random(6)
     rows = [
         (1, 0, "us: er\\", r"a\### x </turn>"), (1, 1, None, None), (1, 1, "assistant", "####\\</turn></turn>\\"), (None, 3, "assistant", "plain\n### "),
+        (5, 0, "user", "abc\\"), (5, 1, "assistant", "d\\"), (6, 0, "assistant", "\\\\"), (7, 0, "x\\", "\\n</turn>\n### x: y"), (8, 0, "assistant", "a\\/b</turn"), (9, 0, "", ""),
         (2, 0, "assistant", ""), (2, 0, "assistant", ""), (3, None, "a:", " : b\\/ \\"), (3, 2, "assistant", "<</turn>#"), (4, 1, "user", "x" * 200000),
     ]
-    out = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
-    got = out.select("conv_id", "turns", "formatted", chat.under_mask(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect()
+    rows += [(10, i, r.choice(("user", "assistant")), "".join(r.choice(CONTROL) for _ in range(r.randint(0, 3)))) for i in range(1500)]
+    rows += [(100 + i, i % 3, "assistant", "".join(r.choice(CONTROL) for _ in range(r.randint(0, 9)))) for i in range(300)]
+    data = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({c: F.lit("clash") for c in ("formatted", "turns", "level", "__source", "loss_spans")})
+    out = chat.format_chats(data)
+    got = out.select("conv_id", "turns", "formatted", "level", "loss_spans", chat.under_mask(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect()
     by = collections.defaultdict(list)
     for c, t, r, x in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")):
         by[c].append((r or "", x or ""))
     for r in got:
-        assert [tuple(t) for t in r.turns] == by[r.conv_id]
+        assert [tuple(t) for t in r.turns] == by[r.conv_id] == chat_by_grammar(r.formatted)
+        assert r.level == any("\\" in x or "###" in x or "</turn>" in x for t in by[r.conv_id] for x in t) or r.conv_id in (1, 3)
         assert r.loss == "".join(x for role, x in by[r.conv_id] if role == "assistant")
-        assert r.formatted.count("</turn>") == len(by[r.conv_id]) and r.formatted.count("### ") == len(by[r.conv_id])
+        assert [r.formatted[a:b].count("</turn>") for a, b in r.loss_spans] == [0] * sum(role == "assistant" for role, _ in by[r.conv_id])
     assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_chat_sql_on_hard_rows(spark, tmp_path):
+    """The query and its SQL on tables of final backslashes, control strings and 10,000 turns."""
+    r = random.Random(7)
+    rows = [(i % 400, i // 400, r.choice(("user", "assistant", "a: b", "x\\", None)), "".join(r.choice(CONTROL) for _ in range(r.randint(0, 8))) if r.random() < 0.95 else None) for i in range(2400)]
+    rows += [(1000, i, "assistant" if i % 2 else "user", "word \\" if i % 7 == 0 else "plain text") for i in range(10000)] + [(None, 1, "assistant", "abc\\")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    c = duckdb.connect()
+    c.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    got, want = chat.query(spark, str(tmp_path)), c.sql(chat.SQL)
+    assert sql_rows(got.columns, got.collect()) == sql_rows(want.columns, want.fetchall())
+
+
 def sql_rows(columns, values):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
     return sorted(repr([v[i] for i in order]) for v in values)

@@ -1,14 +1,18 @@
 """Chat formatting whose output reads back as the turns it was made of; DataFrame operations only.
 
 Grammar: ``conversation := turn*``, ``turn := "### " role ": " body "</turn>\\n"``. A backslash stands for
-the character after it. Each conversation is rendered as it is, the result parsed and compared with the
+the character after it, whatever that is; a role ends at the first ": " outside such pairs, a body at the first
+"</turn>\\n", and neither holds "###" or "</turn>". The parser reads from left to right once: it first doubles each pair's
+backslash to its other side (``\\x`` becomes ``\\x\\``), after which no control string can be found across or inside a
+pair, and what it finds is the grammar's. Each conversation is rendered as it is, the result parsed and compared with the
 source; where it differs (a text holds a control string or a backslash) it is rendered again with the
 conflicting content escaped, and compared again, until identical. Escaping puts a backslash before each
 backslash and inside each control string, so that none is left whole; that level is always identical.
 
 Turns are ordered by turn, then role, then text (nulls first). Null texts and roles are empty, repeated
 rows are turns of their own, and a null conversation id is a conversation like another. A conversation
-is one output string, so its turns meet in one task; conversations don't.
+is one output string, so its turns meet in one task; conversations don't. Other columns aren't read, whatever their names.
+An empty table gives no conversation.
 """
 
 from __future__ import annotations
@@ -20,6 +24,8 @@ from tidelog.llm.common import table
 
 # Fixed values of the template.
 OPEN, SEP, CLOSE = "### ", ": ", "</turn>"
+#: Turns whose places are summed up together.
+BLOCK = 256
 
 
 def escaped(s: Column) -> Column:
@@ -36,6 +42,21 @@ def unescaped(s: Column) -> Column:
     return F.regexp_replace(s, r"(?s)\\(.)", "$1")
 
 
+def closed(s: Column) -> Column:
+    """Each escaped character with a backslash on either side, read from left to right."""
+    return F.regexp_replace(s, r"(?s)\\(.)", r"\\$1\\")
+
+
+def opened(s: Column) -> Column:
+    """closed() text without its backslashes."""
+    return F.regexp_replace(s, r"(?s)\\(.)\\", "$1")
+
+
+def width(s: Column) -> Column:
+    """Characters that closed() text had before."""
+    return F.length(s) - F.regexp_count(s, F.lit(r"(?s)\\.\\"))
+
+
 def rendered(turns: Column, escape: bool) -> Column:
     """The text of an array of (role, text)."""
     role, body = (role_escaped, escaped) if escape else ((lambda s: s), (lambda s: s))
@@ -43,22 +64,36 @@ def rendered(turns: Column, escape: bool) -> Column:
 
 
 def parsed(text: Column) -> Column:
-    """The array of (role, text) that a rendered text stands for; null if it breaks the grammar."""
-    parts = F.split(text, CLOSE + "\n", -1)
+    """The array of (role, text, head, body: characters up to the body, and of it) that a rendered text stands for; null if it breaks the grammar."""
+    parts = F.split(closed(text), CLOSE + "\n", -1)
     heads = F.slice(parts, 1, F.size(parts) - 1)
 
     def turn(p: Column) -> Column:
         rest = F.substring(p, F.lit(len(OPEN) + 1), F.length(p))
         at = F.instr(rest, SEP)
-        return F.struct(
-            unescaped(F.substring(rest, F.lit(1), at - 1)).alias("role"),
-            unescaped(F.substring(rest, at + len(SEP), F.length(rest))).alias("text"),
-            (p.startswith(OPEN) & (at > 0) & ~F.contains(rest, F.lit("###")) & ~F.contains(rest, F.lit(CLOSE))).alias("ok"),
-        )
+        role, body = F.substring(rest, F.lit(1), at - 1), F.substring(rest, at + len(SEP), F.length(rest))
+        good = p.startswith(OPEN) & (at > 0) & ~F.contains(rest, F.lit("###")) & ~F.contains(rest, F.lit(CLOSE))
+        return F.when(good, F.struct(opened(role).alias("role"), opened(body).alias("text"), (width(role) + len(OPEN) + len(SEP)).alias("head"), width(body).alias("body")))
 
     turns = F.transform(heads, turn)
-    good = F.forall(turns, lambda t: t["ok"]) & (F.element_at(parts, -1) == "")
-    return F.when(good, F.transform(turns, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))))
+    return F.when(F.forall(turns, lambda t: t.isNotNull()) & (F.element_at(parts, -1) == ""), turns)
+
+
+def pairs(turns: Column) -> Column:
+    return F.transform(turns, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
+
+
+def running(sizes: Column, first: Column) -> Column:
+    """Where each of the sizes begins, from first on."""
+    zero = F.struct(first.cast("int").alias("at"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(sizes, zero, lambda a, n: F.struct((a["at"] + n).cast("int").alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+
+
+def begins(sizes: Column) -> Column:
+    """As running() from 0, over blocks of BLOCK, so that the cost is near linear however many sizes there are."""
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / BLOCK).cast("int")), lambda i: F.slice(sizes, i * BLOCK + 1, F.lit(BLOCK)))
+    totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, n: (a + n).cast("int")))
+    return F.flatten(F.zip_with(blocks, running(totals, F.lit(0)), lambda b, at: running(b, at)))
 
 
 def format_chats(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -70,21 +105,17 @@ def format_chats(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
         rows[conv].alias(conv),
         F.struct(rows[turn].alias("turn"), F.coalesce(rows[role].cast("string"), F.lit("")).alias("role"), F.coalesce(rows[text].cast("string"), F.lit("")).alias("text")).alias("__t"),
     )
-    chats = rows.groupBy(conv).agg(F.transform(F.array_sort(F.collect_list("__t")), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("source"))
-    plain = chats.withColumn("plain", rendered(F.col("source"), False))
-    tried = plain.withColumn("level", F.when(F.equal_null(parsed(F.col("plain")), F.col("source")), 0).otherwise(1))
-    done = tried.withColumn("formatted", F.when(F.col("level") == 0, F.col("plain")).otherwise(rendered(F.col("source"), True)))
-    done = done.withColumn("turns", parsed(F.col("formatted")))
-    done = done.withColumn("turns", F.when(F.equal_null(F.col("turns"), F.col("source")), F.col("turns")).otherwise(F.raise_error(F.lit("a conversation did not read back as it was"))))
-    lengths = F.transform(F.split("formatted", CLOSE + "\n", -1), lambda p: F.length(p))
-    starts = F.transform(F.sequence(F.lit(1), F.size("turns")), lambda i: F.aggregate(F.slice(lengths, F.lit(1), i - 1), F.lit(0), lambda a, n: a + n + len(CLOSE) + 1))
-    spans = F.zip_with(
-        F.zip_with(starts, F.split("formatted", CLOSE + "\n", -1), lambda s, p: F.struct(s.alias("s"), p.alias("p"))),
-        F.col("turns"),
-        lambda x, t: F.struct((x["s"] + F.instr(x["p"], SEP) - 1 + len(SEP)).alias("start"), (x["s"] + F.length(x["p"])).alias("end"), t["role"].alias("role")),
-    )
+    chats = rows.groupBy(conv).agg(F.transform(F.array_sort(F.collect_list("__t")), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("__source"))
+    done = chats.withColumn("__plain", rendered(F.col("__source"), False)).withColumn("__read", parsed(F.col("__plain")))
+    done = done.withColumn("level", F.when(F.equal_null(pairs(F.col("__read")), F.col("__source")), 0).otherwise(1))
+    done = done.withColumn("formatted", F.when(F.col("level") == 0, F.col("__plain")).otherwise(rendered(F.col("__source"), True)))
+    done = done.withColumn("__read", F.when(F.col("level") == 0, F.col("__read")).otherwise(parsed(F.col("formatted"))))
+    same = (F.col("level") == 0) | F.equal_null(pairs(F.col("__read")), F.col("__source"))
+    done = done.withColumn("__read", F.when(same, F.col("__read")).otherwise(F.raise_error(F.lit("a conversation did not read back as it was"))))
+    starts = begins(F.transform("__read", lambda t: (t["head"] + t["body"] + len(CLOSE) + 1).cast("int")))
+    spans = F.zip_with(starts, F.col("__read"), lambda s, t: F.struct((s + t["head"]).alias("start"), (s + t["head"] + t["body"]).alias("end"), t["role"].alias("role")))
     spans = F.transform(F.filter(spans, lambda x: x["role"] == "assistant"), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
-    return done.select(conv, "formatted", "level", "turns", F.when(F.size("turns") > 0, spans).alias("loss_spans"))
+    return done.select(conv, "formatted", "level", pairs(F.col("__read")).alias("turns"), spans.alias("loss_spans"))
 
 
 def under_mask(formatted: Column, spans: Column) -> Column:
