@@ -6,12 +6,16 @@ patterns miss (a telephone number without +, a card number in odd groups, an add
 its @): text is cut into short regions around digits and @, a region into tokens, and a bounded-entity
 dynamic programme chooses boundaries and kinds together, a segment being scored as a whole (digits,
 groups, separators, checksum, neighbours). A span is added if its posterior probability, summed over all
-segmentations of its region, is at least ``least`` and it overlaps no base span.
+segmentations of its region, is at least ``least`` and it overlaps no base span. An entity's kind depends on the kind of the entity before it in
+its region, by a weight for each pair of kinds, so the programme's state is that kind, or none yet.
 
 The weights are trained here, by maximum likelihood on generated regions (seeded, so every run has the
-same weights). Null texts are empty and have no span. Texts are taken whole, and so is a region: its dynamic
-programme runs over all its tokens, in time linear in them, as a segment holds at most LONGEST. Of a segment
-its ends and weights are kept as plain numbers, of its features nothing.
+same weights). Texts are taken whole, and so is a region: its dynamic programme runs over all its tokens, in time linear in them, as an
+entity is bounded: MOST_DIGITS digits, with the three separators at most that a region has between two, or one address, whose local part and domain are a token
+each, however long. Of a segment its ends and weights are kept as plain numbers, of its features nothing.
+
+Null texts are empty and have no span; repeated rows and null keys are rows like others. Other columns than the text and the key
+aren't read, whatever their names. An empty table gives no row.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ from __future__ import annotations
 import bisect
 import functools
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -91,12 +96,16 @@ def base(text: str) -> dict[str, list[Span]]:
 
 # A region lies around digits, or around an @.
 DIGITS = re.compile(r"\+?\(?[0-9](?:[0-9]|[\x20().+/_-]{1,3}(?=[0-9(+]))*+")
-AFTER = re.compile(r"\x20?[A-Za-z0-9.-]{0,255}")
-TOKEN = re.compile(r"[0-9]+|[A-Za-z]+|@|[^0-9A-Za-z@]")
-#: Tokens and digits that an entity holds at most.
-LONGEST, MOST_DIGITS = 23, 19
+AFTER = re.compile(r"\x20?[A-Za-z0-9.-]*+")
+TOKEN = re.compile(r"[0-9]+|[A-Za-z]+|[^0-9A-Za-z]")
+#: Beside an @: a local part without leading signs; a domain or word; any other character.
+ADDRESS = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*+(?=\x20?@)|[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+|[^A-Za-z0-9-]")
+#: Digits that an entity holds at most.
+MOST_DIGITS = 19
 LABELS = (*KINDS, "none")
 NONE = len(KINDS)
+#: The programme's states: the kind of the entity before, or none yet.
+STATES = range(NONE + 1)
 
 
 def regions(text: str) -> list[Span]:
@@ -140,59 +149,102 @@ def features(text: str, begin: int, end: int, groups: int) -> tuple[str, ...]:
     return tuple(out)
 
 
+def tokens_of(text: str, begin: int, end: int) -> list[Span]:
+    """The tokens of a region: by address parts if it holds an @, else by runs of digits and of letters."""
+    return [m.span() for m in (ADDRESS if text.find("@", begin, end) >= 0 else TOKEN).finditer(text, begin, end)]
+
+
 def lattice(text: str, begin: int, end: int) -> tuple[list[Span], list[tuple[int, int, tuple[str, ...]]]]:
-    """Tokens, and candidate segments (first token, one past its last, features) of two or more tokens or many digits."""
-    tokens = [m.span() for m in TOKEN.finditer(text, begin, end)]
+    """Tokens, and candidate segments (first token, one past its last, features): those with eight digits or more, or with an @."""
+    tokens = tokens_of(text, begin, end)
     return tokens, list(candidates(text, tokens))
 
 
 def candidates(text: str, tokens: list[Span]) -> Iterator[tuple[int, int, tuple[str, ...]]]:
-    """The lattice's segments, one by one, in the order of their first tokens."""
+    """The lattice's segments, one by one, in the order of their first tokens. With an @, a segment ends two tokens after it at most (a blank and a domain)."""
+    held = [sum("0" <= c <= "9" for c in text[a:b]) for a, b in tokens]
+    sign = [text[a] == "@" for a, _ in tokens]
     for i, (a, _) in enumerate(tokens):
         if text[a] not in "+(" and not text[a].isalnum():
             continue
-        for j in range(i + 1, min(i + LONGEST, len(tokens)) + 1):
+        digits, groups, at = 0, 0, None
+        for j in range(i + 1, len(tokens) + 1):
             b = tokens[j - 1][1]
-            digits = sum("0" <= c <= "9" for c in text[a:b])
-            if digits > MOST_DIGITS and "@" not in text[a:b]:
+            if sign[j - 1]:
+                if at is not None or j - 1 > i + 2:
+                    break  # a second @, or more than a blank between the local part and it
+                at = j - 1
+            if at is not None and j > at + 3:
+                break
+            digits, groups = digits + held[j - 1], groups + text[tokens[j - 1][0]].isdigit()
+            if at is None and digits > MOST_DIGITS and j > i + 2:
                 break
-            if text[b - 1].isalnum() and (digits >= 8 or "@" in text[a:b]):
-                yield i, j, features(text, a, b, sum(text[x].isdigit() for x, _ in tokens[i:j]))
+            if text[b - 1].isalnum() and (at is not None or 8 <= digits <= MOST_DIGITS):
+                yield i, j, features(text, a, b, groups)
 
 
 class Field:
-    """Weights of (feature, kind); a token outside entities scores 0."""
+    """Weights of (feature, kind), and of (kind of the entity before, kind); a token outside entities scores 0."""
 
     def __init__(self):
         self.w: dict[tuple[str, int], float] = {}
+        self.turn = [[0.0] * NONE for _ in STATES]
 
     def weigh(self, segs: list) -> list[list[float]]:
         get = self.w.get
         return [[sum(get((f, k), 0.0) for f in fs) for k in range(NONE)] for _, _, fs in segs]
 
-    def marginals(self, n: int, segs: list, weights: list[list[float]]) -> tuple[float, list[list[float]]]:
-        """Log partition sum over the segmentations, and each (segment, kind)'s probability."""
-        ahead, back = [0.0] * (n + 1), [0.0] * (n + 1)
-        into: list[list[int]] = [[] for _ in range(n + 1)]
+    def into(self, state: list[float]) -> list[float]:
+        """Of each kind: the log sum over the states before it, transitions counted."""
+        return [logsum([state[l] + self.turn[l][k] for l in STATES]) for k in range(NONE)]
+
+    def onward(self, after: list[float], ws: list[float]) -> list[float]:
+        """Of each state: the log sum over kinds of a segment of weights ws after which after[k] follows."""
+        return [logsum([self.turn[l][k] + ws[k] + after[k] for k in range(NONE)]) for l in STATES]
+
+    def marginals(self, n: int, segs: list, weights: list[list[float]]) -> tuple[float, list[list[float]], list[list[float]]]:
+        """Log partition sum over the segmentations, each (segment, kind)'s probability, and each transition's expected count."""
+        ahead = [[-math.inf] * (NONE + 1) for _ in range(n + 1)]
+        back = [[0.0] * (NONE + 1) for _ in range(n + 1)]
+        ahead[0][NONE] = 0.0
         out_of: list[list[int]] = [[] for _ in range(n + 1)]
-        best = []
-        for x, (i, j, _) in enumerate(segs):
-            into[j].append(x)
+        for x, (i, _, _) in enumerate(segs):
             out_of[i].append(x)
-            best.append(logsum(weights[x]))
-        for t in range(1, n + 1):
-            ahead[t] = logsum([ahead[t - 1], *(ahead[segs[x][0]] + best[x] for x in into[t])])
+        for t in range(n + 1):
+            if t:
+                ahead[t] = [logsum([a, b]) for a, b in zip(ahead[t], ahead[t - 1], strict=True)]
+            if out_of[t]:
+                come = self.into(ahead[t])
+                for x in out_of[t]:
+                    goal = ahead[segs[x][1]]
+                    for k, w in enumerate(weights[x]):
+                        goal[k] = logsum([goal[k], come[k] + w])
         for t in range(n - 1, -1, -1):
-            back[t] = logsum([back[t + 1], *(back[segs[x][1]] + best[x] for x in out_of[t])])
-        z = ahead[n]
-        return z, [[math.exp(min(0.0, ahead[i] + w + back[j] - z)) for w in weights[x]] for x, (i, j, _) in enumerate(segs)]
+            ways = [back[t + 1], *(self.onward(back[segs[x][1]], weights[x]) for x in out_of[t])]
+            back[t] = [logsum([w[l] for w in ways]) for l in STATES]
+        z = logsum(ahead[n])
+        p, turns = [], [[0.0] * NONE for _ in STATES]
+        for x, (i, j, _) in enumerate(segs):
+            p.append([])
+            for k, w in enumerate(weights[x]):
+                each = [math.exp(min(0.0, ahead[i][l] + self.turn[l][k] + w + back[j][k] - z)) for l in STATES]
+                p[x].append(min(1.0, sum(each)))
+                for l in STATES:
+                    turns[l][k] += each[l]
+        return z, p, turns
 
     def train(self, examples: list[tuple[int, list, dict[tuple[int, int], int]]], rounds: int = 6, step: float = 0.3, held: float = 1e-3) -> None:
         """Likelihood ascent, adaptive steps by weight."""
-        sums: dict[tuple[str, int], float] = {}
+        sums: dict[tuple, float] = {}
+
+        def climb(key: tuple, value: float, g: float) -> float:
+            g -= held * value
+            sums[key] = sums.get(key, 0.0) + g * g
+            return value + step * g / math.sqrt(sums[key] + 1e-6)
+
         for _ in range(rounds):
             for n, segs, truth in examples:
-                _, p = self.marginals(n, segs, self.weigh(segs))
+                _, p, turns = self.marginals(n, segs, self.weigh(segs))
                 slope: dict[tuple[str, int], float] = {}
                 for x, (i, j, fs) in enumerate(segs):
                     for k in range(NONE):
@@ -200,10 +252,16 @@ class Field:
                         if abs(g) > 1e-4:
                             for f in fs:
                                 slope[f, k] = slope.get((f, k), 0.0) + g
+                before = NONE
+                for at in sorted(truth):
+                    turns[before][truth[at]] -= 1
+                    before = truth[at]
                 for key, g in slope.items():
-                    g -= held * self.w.get(key, 0.0)
-                    sums[key] = sums.get(key, 0.0) + g * g
-                    self.w[key] = self.w.get(key, 0.0) + step * g / math.sqrt(sums[key] + 1e-6)
+                    self.w[key] = climb(key, self.w.get(key, 0.0), g)
+                for l in STATES:
+                    for k in range(NONE):
+                        if abs(turns[l][k]) > 1e-4:
+                            self.turn[l][k] = climb((l, k, "turn"), self.turn[l][k], -turns[l][k])
 
     def spans(self, n: int, segs: Iterable, least: float) -> list[tuple[int, int, int, float]]:
         """Best segmentation's entities (first token, one past the last, kind, posterior), of posterior least or more. segs come in the order of their first tokens."""
@@ -214,42 +272,57 @@ class Field:
             weights.extend(self.weigh([seg])[0])
         if not first:
             return []
-        nothing = array("d", [-math.inf]) * n
-        ahead, top, back = array("d", [0.0]) + nothing, array("d", [0.0]) + nothing, array("d", [0.0]) * (n + 1)
-        via = array("q", [-1]) * (n + 1)  # the (segment, kind) that ends at a token, or -1
+        wide = NONE + 1
+        ahead, top = array("d", [-math.inf]) * (wide * (n + 1)), array("d", [-math.inf]) * (wide * (n + 1))
+        back = array("d", [0.0]) * (wide * (n + 1))
+        via = array("q", [-1]) * (wide * (n + 1))  # the (segment, state before) of the best way to a (token, state); -1: the token before, in the same state
+        ahead[NONE] = top[NONE] = 0.0
         x = 0
         for t in range(n + 1):
+            here = t * wide
             if t:
-                ahead[t] = logsum([ahead[t], ahead[t - 1]])
-                if top[t - 1] > top[t]:
-                    top[t], via[t] = top[t - 1], -1
+                for l in STATES:
+                    ahead[here + l] = logsum([ahead[here + l], ahead[here - wide + l]])
+                    if top[here - wide + l] > top[here + l]:
+                        top[here + l], via[here + l] = top[here - wide + l], -1
+            if x < len(first) and first[x] == t:
+                come = self.into(ahead[here : here + wide])
+                best = [max((top[here + l] + self.turn[l][k], l) for l in STATES) for k in range(NONE)]
             while x < len(first) and first[x] == t:
-                j, ws = last[x], weights[x * NONE : (x + 1) * NONE]
-                ahead[j] = logsum([ahead[j], ahead[t] + logsum(ws)])
-                for k, w in enumerate(ws):
-                    if top[t] + w >= top[j]:
-                        top[j], via[j] = top[t] + w, x * NONE + k
+                goal = last[x] * wide
+                for k in range(NONE):
+                    w = weights[x * NONE + k]
+                    ahead[goal + k] = logsum([ahead[goal + k], come[k] + w])
+                    if best[k][0] + w >= top[goal + k]:
+                        top[goal + k], via[goal + k] = best[k][0] + w, x * wide + best[k][1]
                 x += 1
         for t in range(n - 1, -1, -1):
-            back[t] = back[t + 1]
+            ways = [back[(t + 1) * wide : (t + 2) * wide]]
             while x and first[x - 1] == t:
                 x -= 1
-                back[t] = logsum([back[t], back[last[x]] + logsum(weights[x * NONE : (x + 1) * NONE])])
-        out, t = [], n
+                ways.append(self.onward(back[last[x] * wide : (last[x] + 1) * wide], weights[x * NONE : (x + 1) * NONE]))
+            for l in STATES:
+                back[t * wide + l] = logsum([w[l] for w in ways])
+        z = logsum(ahead[n * wide : (n + 1) * wide])
+        out, t, state = [], n, max(STATES, key=lambda l: top[n * wide + l])
         while t:
-            if via[t] >= 0:
-                x, k = divmod(via[t], NONE)
-                p = math.exp(min(0.0, ahead[first[x]] + weights[via[t]] + back[t] - ahead[n]))
-                if p >= least:
-                    out.append((first[x], t, k, p))
-                t = first[x]
-            else:
+            x, before = divmod(via[t * wide + state], wide)
+            if x < 0:
                 t -= 1
+                continue
+            i = first[x]
+            come = logsum([ahead[i * wide + l] + self.turn[l][state] for l in STATES])
+            p = math.exp(min(0.0, come + weights[x * NONE + state] + back[t * wide + state] - z))
+            if p >= least:
+                out.append((i, t, state, p))
+            t, state = i, before
         return out[::-1]
 
 
-def logsum(xs: list[float]) -> float:
+def logsum(xs: Iterable[float]) -> float:
     m = max(xs)
+    if m == -math.inf:
+        return m
     return m + math.log(sum(math.exp(x - m) for x in xs))
 
 
@@ -287,10 +360,14 @@ def generated(n: int, seed: int = 7) -> Iterator[tuple[str, list[tuple[int, int,
         text, marks = word() + " ", []
         for _ in range(r.randint(1, 2)):
             k = r.randint(0, 7)
-            s = makers[k]() if k < 4 else wrong()
-            if k < 4:
-                marks.append((len(text), len(text) + len(s), k))
-            text += s + r.choice((f" {word()} ", f", {word()} ", f" {word()} {word()} "))
+            for again in range(r.choice((1, 1, 1, 1, 2, 3)) if 0 < k < 4 else 1):  # entities side by side, mostly of one kind
+                text += r.choice((" ", " / ", "/")) if again else ""
+                k = r.randint(1, 3) if again and r.random() < 0.2 else k
+                s = makers[k]() if k < 4 else wrong()
+                if k < 4:
+                    marks.append((len(text), len(text) + len(s), k))
+                text += s
+            text += r.choice((f" {word()} ", f", {word()} ", f" {word()} {word()} "))
         yield text, marks
 
 
@@ -313,26 +390,25 @@ def find(text: str, field: Field, least: float = 0.9) -> tuple[dict[str, list[Sp
     """The base spans, and all spans: those and what the field adds, in order in each kind."""
     own = base(text)
     taken = sorted(s for spans in own.values() for s in spans)
+    reach = list(itertools.accumulate((e for _, e in taken), max))  # how far the spans up to each go
     added: list[tuple[int, int, int]] = []
-    x = 0
     for a, b in regions(text):
-        while x < len(taken) and taken[x][1] <= a:
-            x += 1
-        if x < len(taken) and taken[x][0] <= a and taken[x][1] >= b:
-            continue  # a base span is all of it
-        tokens = [t.span() for t in TOKEN.finditer(text, a, b)]
+        x = bisect.bisect_right(taken, (a, math.inf))
+        if x and reach[x - 1] >= b:
+            continue  # a base span is all of it, so whatever the field found would overlap it
+        tokens = tokens_of(text, a, b)
         for i, j, k, _ in field.spans(len(tokens), candidates(text, tokens), least):
             begin, end = tokens[i][0], tokens[j - 1][1]
             at = bisect.bisect_left(added, (begin, end))  # those added don't overlap each other
-            if not overlaps(taken, begin, end) and not any(p < end and begin < q for p, q, _ in added[max(0, at - 1) : at + 1]):
+            if not overlaps(taken, reach, begin, end) and not any(p < end and begin < q for p, q, _ in added[max(0, at - 1) : at + 1]):
                 added.insert(at, (begin, end, k))
     return own, {kind: sorted(own[kind] + [(a, b) for a, b, k in added if k == n]) for n, kind in enumerate(KINDS)}
 
 
-def overlaps(spans: list[Span], begin: int, end: int) -> bool:
-    """Of sorted spans; those of other kinds may overlap each other, so a few before the place count too."""
-    x = bisect.bisect_left(spans, (begin, begin))
-    return any(s < end and begin < e for s, e in spans[max(0, x - 8) : x + 8])
+def overlaps(spans: list[Span], reach: list[int], begin: int, end: int) -> bool:
+    """Whether one of sorted spans, which may overlap each other, overlaps [begin, end); reach: the furthest end up to each."""
+    x = bisect.bisect_left(spans, (end, -1))
+    return x > 0 and reach[x - 1] > begin
 
 
 def listed(spans: dict[str, list[Span]]) -> str:
