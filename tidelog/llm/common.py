@@ -10,7 +10,7 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -108,6 +108,29 @@ def unit_hash(*cols: Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
 
 
+def bounded(rows: DataFrame, per: int, chars: int) -> list[tuple]:
+    """(label, text) of at most per rows and chars characters of each label, in a fixed order: those of lowest hash of the key.
+
+    rows: (k, y, t). What reaches the driver is bounded before it is collected: a first pass ranks rows by hash, without their texts
+    (each task sends per rows a label at most), and the texts of those that fit are fetched by a second. Rows that repeat a text
+    of a key and label count once; null texts and labels not at all. Labels must be few.
+    """
+    known = rows.where(F.col("t").isNotNull() & F.col("y").isNotNull()).select("y", unit_hash(F.col("k")).alias("u"), F.xxhash64("t").alias("d"), F.length("t").alias("n"), "t")
+    first = Window.partitionBy("y").orderBy("u", "d")
+    ranked = known.select("y", "u", "d", "n").withColumn("r", F.row_number().over(first)).where(F.col("r") <= per)  # a limit by group, taken in each task before rows are sent
+    held: dict = {}
+    chosen = []
+    for x in sorted({(r.y, r.u, r.d, r.n) for r in ranked.collect()}):
+        held[x[0]] = held.get(x[0], 0) + x[3]
+        if held[x[0]] <= chars:
+            chosen.append(x[:3])
+    if not chosen:
+        return []
+    wanted = rows.sparkSession.createDataFrame(chosen, known.select("y", "u", "d").schema)
+    found = known.join(F.broadcast(wanted), ["y", "u", "d"]).groupBy("y", "u", "d").agg(F.first("t").alias("t"))  # per rows a label
+    return [(r.y, r.t) for r in sorted(found.collect(), key=lambda r: (r.y, r.u, r.d))]
+
+
 def steps(texts: list[str], size: int = STEP_CHARS):
     """Slices (from, to) of texts that hold about size characters; a longer text stands alone."""
     begin, held = 0, 0

@@ -4,12 +4,12 @@ One model per language, of order 5, over lower-case letters with every other run
 space. The languages' n-grams share sorted arrays of 64-bit hashes, one per order; beside each hash
 stand its interpolated log probabilities in every language and, by context, the back-off weights. A text goes to
 the language of lowest cross-entropy per character. What no language explains is rejected. The limit is
-calibrated on texts left out of the model, each read once with its own language and once as if that had
-not been learned: it lies a third of the way from the one to the other (ten robust standard deviations above the own median, at
-least), or eight standard deviations of a text that holds as few letters in different words. It's never over the
-larger of twice the own mean and eight standard deviations at the text's length, which alone holds where
-fewer than two languages are learned. A text over the limit stays if its pieces, each in the
-language that suits it best, are not: it mixes languages that are learned.
+calibrated on texts left out of the model. A short text's is its language's noise over the root of its letters:
+the median excess of pieces and four robust standard deviations, the largest of some bands of length (noise_of). A long text's lies, those texts being read once with their own
+language and once as if it had not been learned, a third of the way from the one mean to the other (ten robust standard deviations above the own median, at
+least). The larger of the two holds, but never more than the larger of twice the own mean and eight standard deviations with the noise at the
+text's length, which alone holds where fewer than two languages are learned. A text over the limit stays if its pieces, each in the
+language that suits it best, are not, noise being counted by the letters of its different words: it mixes languages that are learned.
 
 Fitting takes at most ``docs_per_lang`` rows of each language (those of smallest hash of the id; a fit
 is a bounded sample by design), scoring takes every text whole. Null texts and texts without a letter
@@ -29,12 +29,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import crc_mod, ship, steps, table, unit_hash
+from tidelog.llm.common import STEP_CHARS, bounded, crc_mod, ship, steps, table
 
 ORDER, ALPHABET = 5, 65536
 UND = "und"
 #: Characters of a text that are taken to be in one language, where the whole fits none.
 PIECE = 200
+#: Lengths of the pieces on which a short text's noise is measured.
+BANDS = (8, 16, 32, 64, 128)
 #: Odd multipliers, one for each place of an n-gram.
 PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -60,6 +62,22 @@ def normal(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.where(is_letter, points, 32)[keep], begins, n_letters
 
 
+def normal_parts(text: str, size: int = STEP_CHARS) -> Iterator[tuple[np.ndarray, int, int]]:
+    """normal() of one text, part by part: (code points, how many of them are this part's own, its letters); the others are the ORDER - 1 before."""
+    held, after_letter = np.zeros(0, np.uint32), False
+    for begin in range(0, len(text), size):
+        points = np.frombuffer(text[begin : begin + size].lower().encode("utf-32-le"), np.uint32)
+        is_letter = letters()[points]
+        keep = is_letter | np.concatenate([[after_letter], is_letter[:-1]])  # one space after a letter
+        after_letter = bool(is_letter[-1])
+        own = np.where(is_letter, points, 32)[keep]
+        if not begin:
+            own = np.concatenate([np.array([32], np.uint32), own])
+        held = np.concatenate([held, own])
+        yield held, len(own), int(is_letter.sum())
+        held = held[max(0, len(held) - ORDER + 1) :]
+
+
 def distinct_letters(text: str) -> int:
     """Letters in the different words of a text."""
     return sum(len(w) for w in set(re.findall(r"[^\W\d_]+", text.lower())))
@@ -124,8 +142,27 @@ class Model:
     warmth: float = 1.0
 
     def entropy(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Cross-entropy per character of each text in each language; letters in each text."""
-        points, begins, n_letters = normal(texts)
+        """Cross-entropy per character of each text in each language; letters in each text. Texts over STEP_CHARS are read in parts."""
+        short = [t if len(t) <= STEP_CHARS else "" for t in texts]
+        points, begins, n_letters = normal(short)
+        counts = np.diff(np.append(begins, len(points)))
+        # Between texts stand characters that no n-gram holds, so that none is read in another's context.
+        at = np.arange(len(points)) + (ORDER - 1) * np.repeat(np.arange(1, len(begins) + 1), counts)
+        apart = np.full(len(points) + (ORDER - 1) * len(begins), 0x110000, np.uint32)
+        apart[at] = points
+        out = self.logs(apart)[at]
+        sums = np.add.reduceat(out, begins, axis=0, dtype=np.float64) if len(begins) else np.zeros((0, len(self.langs)))
+        for i, t in enumerate(texts):
+            if len(t) > STEP_CHARS:
+                sums[i], counts[i], n_letters[i] = 0.0, 0, 0
+                for part, fresh, own in normal_parts(t):
+                    sums[i] += self.logs(part)[len(part) - fresh :].sum(axis=0, dtype=np.float64)
+                    counts[i] += fresh
+                    n_letters[i] += own
+        return -sums / np.maximum(counts, 1)[:, None], n_letters
+
+    def logs(self, points: np.ndarray) -> np.ndarray:
+        """Log probability of each character, by those before it, in each language."""
         by_order = hashes(points)
         todo = np.arange(len(points))
         out = np.zeros((len(points), len(self.langs)), np.float32)
@@ -143,19 +180,22 @@ class Model:
                 seen = (context >= 0) & (todo > 0)
                 out[todo[seen]] += self.backoff[n - 1][context[seen]]
         out[todo] += self.unseen
-        sums = np.add.reduceat(out, begins, axis=0, dtype=np.float64) if len(begins) else np.zeros((0, len(self.langs)))
-        counts = np.diff(np.append(begins, len(points)))
-        return -sums / np.maximum(counts, 1)[:, None], n_letters
+        return out
 
     def rejects(self, entropy: np.ndarray, best: np.ndarray, n: np.ndarray, texts: list[str]) -> np.ndarray:
         low = entropy[np.arange(len(best)), best]
         over, noise = low - self.mean[best], self.noise[best]
-        most = np.maximum(8 * np.sqrt(self.spread[best] ** 2 + noise**2 / np.maximum(n, 1)), self.mean[best])
-        out = over > np.minimum(most, np.maximum(self.edge[best], 8 * noise / np.sqrt(np.maximum(n, 1))))
+        most = np.maximum(np.sqrt((8 * self.spread[best]) ** 2 + noise**2 / np.maximum(n, 1)), self.mean[best])
+        out = over > np.minimum(most, np.maximum(self.edge[best], noise / np.sqrt(np.maximum(n, 1))))
         for i in np.flatnonzero(out):
-            h, m = self.entropy([texts[i][p : p + PIECE] for p in range(0, len(texts[i]), PIECE)])
-            mixed = ((h.min(axis=1) - self.mean[h.argmin(axis=1)]) * m).sum() / max(m.sum(), 1)
-            few = 8 * noise[i] / np.sqrt(max(distinct_letters(texts[i]), 1))  # repeated words tell no more than one of them
+            above, held = 0.0, 0
+            for begin in range(0, len(texts[i]), STEP_CHARS // PIECE * PIECE):
+                part = texts[i][begin : begin + STEP_CHARS // PIECE * PIECE]
+                h, m = self.entropy([part[p : p + PIECE] for p in range(0, len(part), PIECE)])
+                above += ((h.min(axis=1) - self.mean[h.argmin(axis=1)]) * m).sum()
+                held += m.sum()
+            mixed = above / max(held, 1)
+            few = noise[i] / np.sqrt(max(distinct_letters(texts[i]), 1))  # repeated words tell no more than one of them
             out[i] = min(over[i], mixed) > min(most[i], max(self.edge[best[i]], few))
         return out
 
@@ -231,7 +271,7 @@ def fit(samples: dict[str, list[str]]) -> Model:
     unseen = (backoff[0][0] if len(backoff[0]) else 0) - np.float32(np.log(ALPHABET))
     some = lambda x: x if len(x) else np.zeros((1, len(langs)), np.float32)
     model = Model(langs, [Sorted.of(k) for k in grams], [some(x) for x in logp], [Sorted.of(k) for k in contexts], [some(x) for x in backoff], unseen, *np.zeros((4, len(langs))))
-    model.mean, model.spread, model.noise = np.zeros(len(langs)), np.zeros(len(langs)), np.full(len(langs), 2.0)
+    model.mean, model.spread, model.noise = np.zeros(len(langs)), np.zeros(len(langs)), np.zeros(len(langs))
     margins, usual = [], np.zeros(len(langs))
     for k, x in enumerate(langs):
         h, n = model.entropy(spare[x])
@@ -241,6 +281,7 @@ def fit(samples: dict[str, list[str]]) -> Model:
             model.mean[k], model.spread[k] = own.mean(), own.std()
             middle = np.median(own)
             usual[k] = middle + 10 * 1.4826 * np.median(np.abs(own - middle)) - own.mean()
+            model.noise[k] = noise_of(model, [t for t, m in zip(spare[x], n, strict=True) if m >= 20] or spare[x], k)
         margins.append((h, n, k))
     model.edge = np.full(len(langs), np.inf)
     apart = []  # of texts whose language is hidden, cross-entropy over the mean of the language they go to then
@@ -254,32 +295,33 @@ def fit(samples: dict[str, list[str]]) -> Model:
     return model
 
 
+def noise_of(model: Model, texts: list[str], k: int, far: float = 4.0) -> float:
+    """How far over its language's mean a text of n letters may lie, times sqrt(n): of pieces of each band of lengths the median and far robust standard deviations, the largest of the bands'.
+
+    Robust, as some calibration texts hold other languages' passages, which are no noise.
+    """
+    out = []
+    for size in BANDS:
+        h, n = model.entropy([t[p : p + size] for t in texts for p in range(0, min(len(t), 40 * size) - size + 1, size)])
+        good = n >= size // 2
+        if good.sum() >= 20:
+            x = (h[good, k] - model.mean[k]) * np.sqrt(n[good])
+            out.append(float(np.median(x) + far * 1.4826 * np.median(np.abs(x - np.median(x)))))
+    return max(out, default=16.0)
+
+
 def learn(docs: DataFrame, rows: Column | None = None, text: str = "text", lang: str = "lang", key: str = "doc_id", docs_per_lang: int = 400, max_langs: int = 256, chars_per_lang: int = 4_000_000) -> Model:
     """A model of the rows that have a text and a language (of those, where rows holds).
 
     The sample is bounded: docs_per_lang rows and about chars_per_lang characters for each language. More
     than max_langs languages are an error, as a model holds every n-gram for every language.
     """
-    known = docs.select(docs[key].alias("k"), docs[text].alias("t"), docs[lang].alias("l")) if rows is None else docs.where(rows).select(docs[key].alias("k"), docs[text].alias("t"), docs[lang].alias("l"))
-    known = known.where(F.col("t").isNotNull() & F.col("l").isNotNull() & (F.col("l") != UND)).withColumn("u", unit_hash(F.col("k")))
-    sizes = {r["l"]: r["count"] for r in known.groupBy("l").count().orderBy(F.desc("count"), "l").limit(max_langs + 1).collect()}
-    if len(sizes) > max_langs:
+    known = (docs if rows is None else docs.where(rows)).select(docs[key].alias("k"), docs[text].alias("t"), docs[lang].alias("y")).where(F.col("t").isNotNull() & F.col("y").isNotNull() & (F.col("y") != UND))
+    if len(known.select("y").distinct().limit(max_langs + 1).collect()) > max_langs:
         raise ValueError(f"over {max_langs} languages to learn")
-    if not sizes:
-        return fit({})
-    rate = F.lit(0.0)
-    for x, n in sizes.items():
-        rate = F.when(F.col("l") == x, F.lit(min(1.0, 1.3 * docs_per_lang / n))).otherwise(rate)
-    rows_ = known.where(F.col("u") < rate).select("l", "u", "k", "t").toPandas().sort_values(["l", "u", "k", "t"], kind="stable")
     samples: dict[str, list[str]] = {}
-    for x, g in rows_.groupby("l", sort=True):
-        held, total = [], 0
-        for t in g.t.tolist()[:docs_per_lang]:
-            if total > chars_per_lang:
-                break
-            held.append(t)
-            total += len(t)
-        samples[x] = held
+    for y, t in bounded(known, docs_per_lang, chars_per_lang):
+        samples.setdefault(y, []).append(t)
     return fit(samples)
 
 
@@ -318,4 +360,4 @@ def query(spark, sf_dir):
     """op5: the language of every document; fitted on the rows that aren't held out."""
     docs = table(spark, sf_dir, "documents")
     model = learn(docs, crc_mod(docs["doc_id"], 4) != 2)
-    return identify(docs, model).select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+    return identify(docs, model).select("doc_id", F.coalesce(crc_mod(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")

@@ -9,9 +9,10 @@ exceeds the rest as 1 - exp(-K n exp(-lambda S)), with lambda and K fitted on cl
 significant segments' excesses add up, and a logistic curve fitted on labelled texts left out of the
 word counts gives the score.
 
-The fit is a bounded sample of labelled rows (``docs_per_class``); scoring takes every text whole. Null
+The fit is a bounded sample of labelled rows (``docs_per_class``, ``chars_per_class``); scoring takes every text whole. Null
 and empty texts score as a text without evidence. With no label of either class to learn from, every
-text scores 0.
+text scores 0. Repeated rows are scored each, alike; a null key is a key like others, held out nowhere. Other columns than the text and
+the key aren't read, whatever their names. An empty table gives no row.
 """
 
 from __future__ import annotations
@@ -24,10 +25,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import crc_mod, ship, table, unit_hash
+from tidelog.llm.common import bounded, crc_mod, ship, table, unit_hash
 
 WORD = re.compile(r"[^\W\d_]+")
 SHORTEST, LONGEST = 3, 9
@@ -162,24 +163,19 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows: Column | None = None, text: str = "text", key: str = "doc_id", label: str = "toxic", docs_per_class: int = 1500, chars_per_class: int = 8_000_000) -> Model:
-    """A model of at most docs_per_class labelled texts of each class (those of smallest hash of the key); rows: a condition on labels."""
+    """A model of at most docs_per_class labelled texts and chars_per_class characters of each class (those of smallest hash of the key); rows: a condition on labels.
+
+    A key with both labels counts as 1. Labels other than 0 and 1, and null keys, are left out.
+    """
     marked = (labels if rows is None else labels.where(rows)).select(labels[key].alias("k"), labels[label].alias("y")).where(F.col("k").isNotNull() & F.col("y").isin(0, 1))
-    sizes = {r["y"]: r["count"] for r in marked.groupBy("y").count().collect()}
-    if len(sizes) < 2:
-        return Model()
-    rate = F.when(F.col("y") == 1, F.lit(min(1.0, 1.3 * docs_per_class / sizes[1]))).otherwise(F.lit(min(1.0, 1.3 * docs_per_class / sizes[0])))
-    chosen = marked.withColumn("u", unit_hash(F.col("k"))).where(F.col("u") < rate).groupBy("k", "u").agg(F.max("y").alias("y"))
-    rows_ = docs.select(docs[key].alias("k"), docs[text].alias("t")).where(F.col("t").isNotNull()).join(F.broadcast(chosen), "k").toPandas()  # chosen: 2.6 x docs_per_class rows at most, in the mean
-    rows_ = rows_.drop_duplicates("k").sort_values(["u", "k"], kind="stable")
-    texts, toxic = [], []
-    room = {0: [docs_per_class, chars_per_class], 1: [docs_per_class, chars_per_class]}
-    for t, y in zip(rows_.t, rows_.y, strict=True):
-        if room[y][0] > 0 and room[y][1] > 0:
-            room[y][0] -= 1
-            room[y][1] -= len(t)
-            texts.append(t)
-            toxic.append(int(y))
-    return fit(texts, toxic)
+    marked = marked.groupBy("k").agg(F.max("y").alias("y"))
+    ranked = marked.withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy(unit_hash(F.col("k")), "k"))).where(F.col("r") <= docs_per_class)
+    chosen = docs.sparkSession.createDataFrame([(r.k, r.y) for r in ranked.collect()], marked.schema)  # 2 x docs_per_class keys at most
+    texts = docs.select(docs[key].alias("k"), docs[text].alias("t")).join(F.broadcast(chosen), "k")
+    sample = bounded(texts, docs_per_class, chars_per_class)
+    # Classes take turns, so that each part of the fit has both.
+    turn = sorted(range(len(sample)), key=lambda i: (i - (0 if sample[i][0] == sample[0][0] else sum(y == sample[0][0] for y, _ in sample)), sample[i][0]))
+    return fit([sample[i][1] for i in turn], [int(sample[i][0]) for i in turn])
 
 
 PASSAGES = "array<struct<start:int,end:int,score:double,p_value:double>>"
@@ -219,4 +215,5 @@ def query(spark, sf_dir):
     """op1: the toxicity of every document; labels are learned from rows that aren't held out."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = learn(docs, labels, crc_mod(labels["doc_id"], 5) != 0)
-    return score(docs, model, passages=False).withColumn("held_out", crc_mod(F.col("doc_id"), 5) == 0)
+    held_out = F.coalesce(crc_mod(F.col("doc_id"), 5) == 0, F.lit(False))
+    return score(docs, model, passages=False).select("doc_id", held_out.alias("held_out"), "score", "predicted", "n_passages")
