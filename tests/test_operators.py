@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidelog.broker import Broker
 from tidelog.functions import routing
 from tidelog.operators import iosim, log, placement, segments
+from tidelog.producer import Producer
 from tidelog.sources.metadata import Metadata
 from tidelog.sources.store import LogStore
 from tidelog.streaming import consumer
@@ -37,7 +38,12 @@ def test_publish_goes_on_where_it_ended_and_replays_once(spark, tmp_path):
     store.publish(messages(spark, 50, start=100), 2)
     store.publish(messages(spark, 50, start=100), 2)
     got = store.read().collect()
-    assert len(got) == 150
+    assert len(got) == 150 and not store.publish(messages(spark, 1), 1)
+    with pytest.raises(ValueError, match="no partition"):
+        store.scan("t", 9, 0, 5)
+    assert sorted(r.offset for r in store.scan("t", 0, 3, 4).collect()) == [3, 4, 5, 6]
+    plan = store.read("t", 1, 3, 9)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(topic" in plan and "GreaterThanOrEqual(offset,3)" in plan
     for p in range(3):
         offsets = sorted(r.offset for r in got if r.partition == p)
         assert offsets == list(range(len(offsets)))
@@ -45,6 +51,102 @@ def test_publish_goes_on_where_it_ended_and_replays_once(spark, tmp_path):
     assert store.render_metrics().count() == 3
 
 
+def test_store_compacts_deletes_and_recovers(spark, tmp_path):
+    store = LogStore(spark, str(tmp_path / "log"))
+    for k in range(3):
+        store.publish(messages(spark, 40, start=40 * k), k + 1)
+    want = sorted(tuple(r) for r in store.read().select("id", "partition", "offset").collect())
+    ends = sorted(map(tuple, store.end_offsets().collect()))
+    assert store.segments().count() == 9 == store.recover().count() and store.segments().where("active").count() == 3
+    doomed = store.segments().where("hi < 20")
+    n = doomed.count()
+    assert store.delete(doomed) == n > 0 and store.delete(doomed.limit(0)) == 0 and store.segments().count() == 9 - n
+    left = sorted(tuple(r) for r in store.read().select("id", "partition", "offset").collect())
+    assert set(left) < set(want) and sorted(map(tuple, store.end_offsets().collect())) == ends
+    assert store.compact() and not store.compact() and sorted(tuple(r) for r in store.read().select("id", "partition", "offset").collect()) == left
+    assert not store.publish(messages(spark, 40), 1) and store.publish(messages(spark, 5, start=500), 9)
+    with pytest.raises(ValueError, match="rising"):
+        store.publish(messages(spark, 1), 8)
+    assert store.cleanup(dt.datetime(2030, 1, 1)) == 3 and {r.batch for r in store.read().select("batch").distinct().collect()} <= {1, 2, 3, 9}
+    with pytest.raises(Exception, match="no id"):
+        store.publish(messages(spark, 3).withColumn("id", F.lit(None).cast("string")), 10)
+    assert store.publish(messages(spark, 30).withColumn("id", F.lit(None).cast("string")), 10, new_ids=True)
+    assert store.read(batch=10).select("id").distinct().count() == 30
+
+
+def test_producer_retries(spark, tmp_path):
+    tries = []
+
+    def down(*args):
+        tries.append(args)
+        raise OSError("down")
+
+    p = Producer(None, retries=2, wait=lambda n: 0.0, publish=down)
+    with pytest.raises(OSError, match="down"):
+        p.send(None, 1)
+    assert len(tries) == 3
+    told = []
+    f = p.send_async(None, 2, done=lambda out, fault: told.append((out, str(fault))))
+    with pytest.raises(OSError):
+        f.result()
+    assert told == [(None, "down")]
+    p.close()
+
+
+def test_binary_and_attributes(spark):
+    rows = spark.sql("select * from values (0L, 1L), (-1L, 9223372036854775807L), (258L, -9223372036854775808L) t(a, b)")
+    raw = rows.withColumn("raw", routing.big_endian(F.col("a"), F.col("b")))
+    for r in raw.select("a", "b", "raw", routing.from_big_endian(F.col("raw"), 0).alias("x"), routing.from_big_endian(F.col("raw"), 1).alias("y")).collect():
+        assert bytes(r.raw) == r.a.to_bytes(8, "big", signed=True) + r.b.to_bytes(8, "big", signed=True) and (r.x, r.y) == (r.a, r.b)
+    ports = spark.createDataFrame([("h:80",), ("h",), ("h:x",), (None,)], "a string").select(routing.host_of(F.col("a")), routing.port_of(F.col("a"))).collect()
+    assert [tuple(r) for r in ports] == [("h", 80), ("h", None), ("h", None), (None, None)]
+
+
+def test_dead_letters_are_buried_with_their_attempts(spark, tmp_path):
+    b = Broker(spark, str(tmp_path))
+    b.meta.join("b0", "h0")
+    b.meta.create_topic("t")
+    b.meta.create_topic("dead-letter")
+    b.publish(messages(spark, 10), 1)
+    attempts = [("t", f"msg-{i}", k > i) for i in range(6) for k in range(1, 5)]  # msg-0 failed always, msg-1 from the second time on
+    b.bury(spark.createDataFrame(attempts, "topic string, id string, failed boolean"), 2)
+    got = b.store.read("dead-letter").collect()
+    assert [(r.id, r.kind, r.attributes) for r in got] == [("msg-0", "DEAD_LETTER", {"origin": "t", "attempts": "4"})]
+    with pytest.raises(ValueError, match="no topic"):
+        b.pull("g", topics=["absent"])
+    with pytest.raises(ValueError, match="needed"):
+        b.pull("")
+    with pytest.raises(ValueError, match="needed"):
+        b.subscribe("g", [], [])
+
+
+def test_writes_are_joined_over_stretches(spark):
+    r = random.Random(9)
+    at, rows = 0, []
+    for _ in range(400):
+        n = r.choice((0, 1, 5, 90, 250))
+        at += r.choice((0, 0, 0, 3))
+        rows.append(("f" if r.random() < 2 else "g", at, n))
+        at += n
+    was = iosim.STRETCH
+    try:
+        iosim.STRETCH = 64
+        got = sorted(map(tuple, iosim.coalesce_writes(spark.createDataFrame(rows, "file string, begin bigint, length bigint")).collect()))
+        reads = {(x.batch, x.begin, x.requests) for x in iosim.batched_reads(spark.createDataFrame(rows, "file string, begin bigint, length bigint"), 7).collect()}
+    finally:
+        iosim.STRETCH = was
+    want, end = [], None
+    for f, a, n in sorted(rows):
+        if a == end:
+            want[-1] = (f, want[-1][1], want[-1][2] + n, want[-1][3] + 1)
+        else:
+            want.append((f, a, n, 1))
+        end = a + n
+    assert got == sorted(want)
+    order = sorted(rows)
+    assert reads == {(i // 7, order[i][1], len(order[i : i + 7])) for i in range(0, 400, 7)}
+
+
 def test_keyed_publish_keeps_a_key_together(spark, tmp_path):
     store = LogStore(spark, str(tmp_path / "log"))
     store.publish(messages(spark, 40), 1, keyed=True)
@@ -105,11 +207,13 @@ def test_placements():
     for replicas in placement.rack_aware(6, brokers, 3):
         assert len(set(replicas)) == 3 and {dict(brokers)[b] for b in replicas} == {"r0", "r1", "r2"}
     assert [len(set(r)) for r in placement.rack_aware(2, brokers, 6)] == [6, 6]
-    now = [["b0", "b1"], ["b1", "b2"], ["b2", "b0"]]
+    # More replicas than racks: one of each rack, then all brokers by name from the partition's number on.
+    assert placement.rack_aware(3, [(f"b{i}", f"r{i % 2}") for i in range(5)], 4) == [["b0", "b1", "b2", "b3"], ["b3", "b2", "b1", "b4"], ["b4", "b1", "b2", "b3"]]
+    now = [("b0", ["b0", "b1"]), ("b2", ["b1", "b2"]), ("b2", ["b2", "b0"])]
     assert placement.least_movement(3, ["b0", "b1", "b2"], 2, now) == now
     moved = placement.least_movement(3, ["b0", "b2", "b3"], 2, now)
-    assert moved[2] == ["b2", "b0"] and all("b1" not in r and len(set(r)) == 2 for r in moved)
-    assert placement.least_movement(2, ["b"], 1, None) == [["b"], ["b"]]
+    assert moved[2] == ("b2", ["b2", "b0"]) and all("b1" not in r and len(set(r)) == 2 and leader in r for leader, r in moved)
+    assert placement.least_movement(2, ["b"], 1, None) == [("b", ["b"]), ("b", ["b"])]
     with pytest.raises(ValueError):
         placement.least_movement(1, ["b"], 2, None)
 
@@ -233,6 +337,8 @@ def test_metadata_follows_nodes(spark, tmp_path):
     assert m.of_node("b1").count() == 2 and m.of_node("b1", "leader").count() == 1 and m.of_node("b1", "follower").count() == 1
     m.fail_over(["b1"])
     assert {r.partition: r.leader for r in m.partitions("t").collect()} == {0: "b0", 1: "b2", 2: "b2", 3: "b3"}
+    m.rebalance("t")  # b1 is back: the leaders stay
+    assert {r.partition: r.leader for r in m.partitions("t").collect()} == {0: "b0", 1: "b2", 2: "b2", 3: "b3"}
     m.leave("b1")
     assert m.brokers() == ["b0", "b2", "b3"]
     m.rebalance("t")

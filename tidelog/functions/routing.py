@@ -42,6 +42,7 @@ def in_sync(leader_offset: Column, follower_offset: Column, most: int = 10) -> C
 
 
 def same_members(a: Column, b: Column) -> Column:
+    """Whether two lists hold the same members, in any order: whether an in-sync set has changed."""
     return F.array_sort(F.array_distinct(a)) == F.array_sort(F.array_distinct(b))
 
 
@@ -52,6 +53,47 @@ def has_attributes(attributes: Column, wanted: dict[str, str]) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
+def with_attribute(attributes: Column, name: str, value: Column) -> Column:
+    """The attributes with one more, or with another value for one that is there; null attributes are none."""
+    had = F.coalesce(attributes, F.create_map().cast("map<string,string>"))
+    return F.map_concat(F.map_filter(had, lambda k, v: k != name), F.create_map(F.lit(name), value.cast("string")))
+
+
+def without_attribute(attributes: Column, name: str) -> Column:
+    return F.map_filter(attributes, lambda k, v: k != name)
+
+
+def attribute(attributes: Column, name: str, default: Column) -> Column:
+    return F.coalesce(F.try_element_at(attributes, F.lit(name)), default)
+
+
+def host_of(address: Column) -> Column:
+    return F.substring_index(address, ":", 1)
+
+
+def port_of(address: Column) -> Column:
+    """The port of host:port; null where there is none."""
+    return F.when(F.contains(address, F.lit(":")), F.substring_index(address, ":", -1).try_cast("int"))
+
+
+def big_endian(*numbers: Column) -> Column:
+    """Numbers of 64 bits, most significant byte first, one after the other."""
+    return F.unhex(F.concat(*(F.lpad(F.hex(n.cast("long")), 16, "0") for n in numbers)))
+
+
+def from_big_endian(data: Column, place: int) -> Column:
+    """The place-th (from 0) 64-bit number of such bytes."""
+    raw = F.hex(F.substring(data, 8 * place + 1, 8))
+    high, low = F.conv(F.substring(raw, 1, 8), 16, 10).cast("long"), F.conv(F.substring(raw, 9, 8), 16, 10).cast("long")
+    return F.shiftleft(high, 32).bitwiseOR(low)
+
+
+def request_fault(group: Column, topic: Column, ids: Column | None = None) -> Column:
+    """What is wrong with a request for a group and topic (and, to acknowledge, ids); null if nothing is."""
+    out = F.when(group.isNull() | (group == ""), "group").when(topic.isNull() | (topic == ""), "topic")
+    return out if ids is None else out.when(ids.isNull() | (F.size(ids) == 0), "ids")
+
+
 def segment_name(base: Column) -> Column:
     return F.concat(F.lpad(base.cast("string"), 20, "0"), F.lit(".log"))
 

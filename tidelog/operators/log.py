@@ -37,7 +37,7 @@ def assign_offsets(df: DataFrame, order: list[str], bucket: Column, base: DataFr
 
 
 def scan(log: DataFrame, begin: int, count: int, topic: str | None = None, partition: int | None = None) -> DataFrame:
-    """Offsets [begin, begin + count) of each partition; both bounds reach the scan."""
+    """Offsets [begin, begin + count) of each partition. On a stored log (LogStore.read) the bounds, topic and partition reach the files; on one that is numbered here, they come after the numbering."""
     out = log.where((F.col("offset") >= begin) & (F.col("offset") < begin + count))
     if topic is not None:
         out = out.where(F.col("topic") == topic)
@@ -83,6 +83,17 @@ def drain(messages: DataFrame, ready: Column) -> DataFrame:
     return messages.where((F.col("kind") == "DELAYED") & ready).withColumn("kind", F.lit("NORMAL")).drop("attributes")
 
 
+def dead_letters(attempts: DataFrame, most: int = 3, topic: str = "dead-letter") -> DataFrame:
+    """attempts: (topic, id, failed), a row a delivery. (topic, id, origin, attempts) of each message: to the dead-letter topic once most deliveries failed and none did not."""
+    each = attempts.groupBy("topic", "id").agg(F.count_if("failed").alias("attempts"), F.min(F.col("failed").cast("int")).alias("all"))
+    gone = (F.col("attempts") >= most) & (F.col("all") == 1)
+    return each.select(F.when(gone, topic).otherwise(F.col("topic")).alias("topic"), "id", F.col("topic").alias("origin"), "attempts")
+
+
+def partitions(log: DataFrame) -> DataFrame:
+    return log.select(*PART).distinct()
+
+
 def replicas_of(log: DataFrame, placed: DataFrame) -> DataFrame:
     """A copy of each message for each replica of its partition."""
     return log.join(placed.select(*PART, F.explode("replicas").alias("node")), PART)

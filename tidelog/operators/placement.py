@@ -25,44 +25,47 @@ def round_robin(partitions: DataFrame, brokers: DataFrame, rf: int) -> DataFrame
 
 
 def rack_aware(partitions: int, brokers: list[tuple[str, str]], rf: int) -> list[list[str]]:
-    """Replicas of each partition: racks in turn from the partition's number on, then brokers in turn.
+    """Replicas of each partition: of each rack one broker, racks in turn from the partition's number on; then, where there are more
+    replicas than racks, brokers by name in turn from the partition's number on.
 
     brokers: (name, rack), names unique; by name inside a rack, so the result is one.
     """
     if rf > len(brokers) or not brokers:
         raise ValueError("fewer brokers than replicas")
+    every = sorted(name for name, _ in brokers)
     racks: dict[str, list[str]] = {}
     for name, rack in sorted(brokers):
         racks.setdefault(rack, []).append(name)
     order = sorted(racks)
+    turn = lambda xs, p: xs[p % len(xs) :] + xs[: p % len(xs)]
     out = []
     for p in range(partitions):
-        chosen: list[str] = []
-        turn = 0
-        while len(chosen) < rf:
-            rack = racks[order[(p + turn) % len(order)]]
-            free = [rack[(p + i) % len(rack)] for i in range(len(rack)) if rack[(p + i) % len(rack)] not in chosen]
-            chosen += free[:1]
-            turn += 1
-        out.append(chosen)
+        firsts = [racks[r][p % len(racks[r])] for r in turn(order, p)]
+        out.append([*firsts, *(b for b in turn(every, p) if b not in firsts)][:rf])
     return out
 
 
-def least_movement(partitions: int, brokers: list[str], rf: int, current: list[list[str]] | None) -> list[list[str]]:
-    """Keeps a partition whose leader and rf replicas live; else the rf least loaded brokers, ties by name."""
+def least_movement(partitions: int, brokers: list[str], rf: int, current: list[tuple[str, list[str]]] | None) -> list[tuple[str, list[str]]]:
+    """(leader, replicas) of each partition. Keeps one whose leader and rf replicas live (its leader too, wherever that stands
+    among them); else the rf least loaded brokers, ties by name, the first of them leading. Without a current placement, or one of another size: round robin.
+    """
     if rf > len(brokers) or not brokers:
         raise ValueError("fewer brokers than replicas")
-    names = sorted(brokers)
+    every = sorted(brokers)
     if not current or len(current) != partitions:
-        return [[names[(p + i) % len(names)] for i in range(rf)] for p in range(partitions)]
-    load: Counter[str] = Counter({b: 0 for b in names})
+        return [(every[p % len(every)], [every[(p + i) % len(every)] for i in range(rf)]) for p in range(partitions)]
+    load: Counter[str] = Counter({b: 0 for b in every})
     out = []
-    for replicas in current:
+    for leader, replicas in current:
         alive = [r for r in replicas if r in load]
-        keeps = bool(replicas) and replicas[0] in load and len(alive) >= rf
-        chosen = alive[:rf] if keeps else sorted(names, key=lambda b: (load[b], b))[:rf]
+        if leader in load and len(alive) >= rf:
+            kept = alive[:rf]
+            chosen = kept if leader in kept else [*kept[: rf - 1], leader]  # a leader holds its partition
+        else:
+            chosen = sorted(every, key=lambda b: (load[b], b))[:rf]
+            leader = chosen[0]
         load.update(chosen)
-        out.append(chosen)
+        out.append((leader, chosen))
     return out
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = ["topic", "partition", "base"]
+#: The default policy: by time, seven days.
+KEEP_S = 7 * 86_400
 
 
 def by_time(segments: DataFrame, now: Column, keep_s: int) -> DataFrame:

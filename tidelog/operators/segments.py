@@ -11,10 +11,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidelog.functions.routing import big_endian, from_big_endian
+
 PART = ["topic", "partition"]
+#: The default roll policy: by size, 64 MiB. The default sparse interval.
+MAX_BYTES, INTERVAL = 64 << 20, 4096
 SEGMENT = "topic string, partition int, base bigint, hi bigint, n bigint, bytes bigint, first_us bigint, last_us bigint"
 
 
@@ -81,6 +85,10 @@ def roll(log: DataFrame, max_bytes: int | None = None, max_count: int | None = N
     return rows.repartition(*PART).sortWithinPartitions(*PART, "offset").mapInPandas(run, SEGMENT)
 
 
+def roll_default(log: DataFrame) -> DataFrame:
+    return roll(log, max_bytes=MAX_BYTES)
+
+
 def by_count(log: DataFrame, max_count: int) -> DataFrame:
     """Segments of max_count messages; the last of a partition is active."""
     seg = log.groupBy(*PART, F.floor(F.col("offset") / max_count).alias("segment")).agg(
@@ -121,8 +129,32 @@ def dense_index(log: DataFrame, stretch: int = 100_000) -> DataFrame:
     return out.select(*PART, "offset", (F.col("__start") + F.col("__p")).cast("long").alias("position"), "size", "ts")
 
 
-def sparse_index(dense: DataFrame, interval: int = 4096) -> DataFrame:
-    return dense.where(F.pmod(F.col("offset"), F.lit(interval)) == 0).select(*PART, "offset", "position", "ts")
+def sparse_index(dense: DataFrame, interval: int = INTERVAL, unit: str | None = None) -> DataFrame:
+    """Every interval-th message's offset and position; none if the interval isn't positive. unit: "s" or "us", for times as numbers of it."""
+    if interval <= 0:
+        return sparse_index(dense, 1, unit).limit(0)
+    whole = {"s": F.unix_seconds, "us": F.unix_micros}
+    ts = F.col("ts") if unit is None else whole[unit](F.col("ts").cast("timestamp")).alias("ts")
+    return dense.where(F.pmod(F.col("offset"), F.lit(interval)) == 0).select(*PART, "offset", "position", ts)
+
+
+class StoredIndex:
+    """A sparse index kept as Parquet: (topic, partition) folders of 24-byte entries (offset, position, time in seconds; big-endian)."""
+
+    SCHEMA = "entry binary, topic string, partition int"
+
+    def __init__(self, spark: SparkSession, path: str, interval: int = INTERVAL):
+        self.spark, self.path, self.interval = spark, path, interval
+
+    def append(self, dense: DataFrame, number: int) -> None:
+        """Adds the entries of newer messages; append number n, given again, replaces itself."""
+        entries = sparse_index(dense, self.interval, "s").select(*PART, big_endian(F.col("offset"), F.col("position"), F.col("ts")).alias("entry"))
+        entries.write.mode("overwrite").partitionBy(*PART).parquet(f"{self.path}/n={number}")
+
+    def load(self) -> DataFrame:
+        """(topic, partition, offset, position, ts) of every entry."""
+        rows = self.spark.read.schema(f"{self.SCHEMA}, n int").parquet(self.path)
+        return rows.select(*PART, *(from_big_endian(F.col("entry"), i).alias(c) for i, c in enumerate(("offset", "position", "ts"))))
 
 
 def floor_entry(index: DataFrame, targets: DataFrame, strict: bool = False) -> DataFrame:

@@ -391,22 +391,6 @@ def rebalance_isr(spark, sf):
     return placed.select(*PART, F.array_join(placement.new_isr(F.col("leader"), old, F.col("replicas")), ",").alias("isr"), F.array_join(F.array_except("replicas", F.array("leader")), ",").alias("followers"))
 
 
-@query("place_rack_aware", None)
-def place_rack_aware(spark, sf):
-    brokers = [(r["broker"], r["rack"]) for r in X.brokers(spark, sf).select("broker", "rack").collect()]
-    n = X.leo(spark, sf).agg(F.max("partition") + 1).first()[0]
-    rows = placement.rack_aware(n, brokers, 3)
-    return spark.createDataFrame([(p, i, b) for p, r in enumerate(rows) for i, b in enumerate(r)], "partition int, replica int, broker string")
-
-
-@query("place_min_movement", None)
-def place_min_movement(spark, sf):
-    rows = X.brokers(spark, sf).where(~is_down(F.col("last_seen"), F.col("now"))).select("broker").collect()
-    placed = placement.round_robin(X.leo(spark, sf).select("partition").distinct().withColumn("topic", F.lit("")), X.brokers(spark, sf), 3).orderBy("partition").collect()
-    moved = placement.least_movement(len(placed), [r["broker"] for r in rows], 3, [list(r["replicas"]) for r in placed])
-    return spark.createDataFrame([(p, i, b) for p, r in enumerate(moved) for i, b in enumerate(r)], "partition int, replica int, broker string")
-
-
 @query("membership_latest", """, ev as (
   select broker, 'h' || k as address, false as gone, 1 as seq from brokers union all select broker, 'h' || (k + 100), false, 2 from brokers where k % 2 = 1
   union all select broker, null, true, 3 from brokers where k % 5 = 0 union all select broker, 'r' || k, false, 4 from brokers where k % 10 = 0)
@@ -491,10 +475,10 @@ def dead_letter_route(spark, sf):
     return X.routed(spark, sf).select(F.when((F.col("seq") * 7) % 6 >= 5, "dead-letter").otherwise(F.col("topic")).alias("topic"), "id", F.col("topic").alias("origin"))
 
 
-@query("unacked_redelivery", "select 'g1' as group_id, topic, id from log where value < 10 and not (value < 5)")
+@query("unacked_redelivery", "select 'g1' as group_id, topic, id from log where not (value < 5)")
 def unacked_redelivery(spark, sf):
     rows = X.routed(spark, sf).select(F.lit("g1").alias("group_id"), "topic", "id", "value")
-    return G.unacked(rows.where("value < 10").drop("value"), rows.where("value < 5").drop("value"))
+    return G.unacked(rows.drop("value"), rows.where("value < 5").drop("value"))
 
 
 @query("filter_attributes", "select topic, id from log where json_extract_string(body, '$.k') = '7'")
@@ -535,10 +519,11 @@ def session_counts(spark, sf):
 
 @query("io_coalesce", """select file, min(b) as begin, sum(length)::bigint as length, count(*)::bigint as requests from (
   select *, sum(new) over (partition by file order by b, length) as run from (select *, case when lag(b + length) over (partition by file order by b, length) = b then 0 else 1 end as new from (
-    select topic || '-' || partition as file, position as b, size as length from dense where "offset" % 7 <> 3))) group by file, run""")
+    select topic || '-' || partition as file, position + 64 * ("offset" // 7) as b, size as length from dense))) group by file, run""")
 def io_coalesce(spark, sf):
-    dense = S.dense_index(X.log(spark, sf)).where("offset % 7 <> 3")
-    return iosim.coalesce_writes(dense.select(F.concat_ws("-", "topic", F.col("partition").cast("string")).alias("file"), F.col("position").alias("begin"), F.col("size").alias("length")))
+    """All messages as writes, with a gap after every seventh."""
+    begin = (F.col("position") + 64 * F.floor(F.col("offset") / 7)).alias("begin")
+    return iosim.coalesce_writes(S.dense_index(X.log(spark, sf)).select(F.concat_ws("-", "topic", F.col("partition").cast("string")).alias("file"), begin, F.col("size").alias("length")))
 
 
 @query("lru_stats", """, a as (select topic as cache, seq, key as page from log),

@@ -23,6 +23,9 @@ TABLES = {
     "commits": ("group_id string, topic string, partition int", "offset bigint"),
     "replica_status": ("topic string, partition int, node string", "offset bigint"),
     "brokers": ("broker string", "address string, rack string, last_seen timestamp"),
+    "services": ("service string, node string", "address string, last_seen timestamp"),
+    "generations": ("group_id string", "generation bigint"),
+    "operations": ("op string", "n bigint"),
 }
 
 
@@ -76,6 +79,26 @@ class Metadata:
         types = dict(c.split() for c in f"{key}, {rest}".split(", "))
         return self.put(table, self.spark.createDataFrame([tuple(r.get(c) for c in cols) for r in rows], ", ".join(f"{c} {types[c]}" for c in cols)), gone)
 
+    # Services, and what was asked of the log
+
+    def register(self, service: str, node: str, address: str, last_seen=None) -> None:
+        self.put_rows("services", [{"service": service, "node": node, "address": address, "last_seen": last_seen}])
+
+    def unregister(self, service: str, node: str) -> None:
+        self.put_rows("services", [{"service": service, "node": node}], gone=True)
+
+    def discover(self, service: str) -> DataFrame:
+        """(node, address, last_seen) of a service."""
+        return self.view("services").where(F.col("service") == service).drop("service")
+
+    def record(self, op: str, n: int = 1) -> None:
+        """One operation in the operation log, which counts n."""
+        self.put_rows("operations", [{"op": op, "n": n}])
+
+    def totals(self) -> DataFrame:
+        """(op, n): how much of each operation there was."""
+        return self.changes("operations").groupBy("op").agg(F.sum("n").alias("n"))
+
     # Brokers
 
     def join(self, broker: str, address: str, rack: str | None = None, last_seen=None) -> None:
@@ -85,6 +108,24 @@ class Metadata:
     def leave(self, broker: str) -> None:
         self.put_rows("brokers", [{"broker": broker}], gone=True)
 
+    def add_broker(self, broker: str, address: str, rack: str | None = None) -> dict[str, str]:
+        """Joins a broker and places every topic anew with the least movement; (topic, what was wrong) of those that couldn't be, the others being done."""
+        self.join(broker, address, rack)
+        return self.rebalance_all()
+
+    def remove_broker(self, broker: str) -> dict[str, str]:
+        self.leave(broker)
+        return self.rebalance_all()
+
+    def rebalance_all(self) -> dict[str, str]:
+        faults = {}
+        for topic in self.topics():
+            try:
+                self.rebalance(topic)
+            except ValueError as fault:
+                faults[topic] = str(fault)
+        return faults
+
     def brokers(self) -> list[str]:
         return sorted(r["broker"] for r in self.view("brokers").select("broker").collect())
 
@@ -102,11 +143,28 @@ class Metadata:
         if self.topic(topic):
             raise ValueError(f"topic {topic} exists")
         placed = placement.least_movement(partitions, self.brokers(), rf, None)
-        self._place(topic, placed, placed)
+        self._place(topic, placed, [replicas for _, replicas in placed])
         self.put_rows("topics", [{"topic": topic, "partitions": partitions, "rf": rf}])
 
-    def _place(self, topic: str, placed: list[list[str]], isr: list[list[str]]) -> None:
-        self.put_rows("partitions", [{"topic": topic, "partition": p, "leader": r[0], "isr": i, "replicas": r} for p, (r, i) in enumerate(zip(placed, isr, strict=True))])
+    def _place(self, topic: str, placed: list[tuple[str, list[str]]], isr: list[list[str]]) -> None:
+        self.put_rows("partitions", [{"topic": topic, "partition": p, "leader": leader, "isr": i, "replicas": r} for p, ((leader, r), i) in enumerate(zip(placed, isr, strict=True))])
+
+    def create_partition(self, topic: str, partition: int, leader: str, replicas: list[str]) -> None:
+        """One partition of a topic, all replicas in sync; an error if it is there."""
+        if self.partition(topic, partition):
+            raise ValueError(f"partition {partition} of topic {topic} exists")
+        self.put_rows("partitions", [{"topic": topic, "partition": partition, "leader": leader, "isr": replicas, "replicas": replicas}])
+
+    def delete_partition(self, topic: str, partition: int) -> None:
+        self.put_rows("partitions", [{"topic": topic, "partition": partition}], gone=True)
+
+    def partition(self, topic: str, partition: int) -> dict | None:
+        row = self.partitions(topic).where(F.col("partition") == partition).first()
+        return row.asDict() if row else None
+
+    def leads(self, node: str, topic: str, partition: int) -> bool:
+        found = self.partition(topic, partition)
+        return found is not None and found["leader"] == node
 
     def delete_topic(self, topic: str) -> None:
         if not self.topic(topic):
@@ -126,8 +184,8 @@ class Metadata:
     def rebalance(self, topic: str) -> None:
         """Places a topic's partitions anew with the least movement; in sync are the leader and old members that are still replicas."""
         old = self.partitions(topic).orderBy("partition").collect()
-        placed = placement.least_movement(len(old), self.brokers(), self.topic(topic)["rf"], [list(r["replicas"]) for r in old])
-        isr = [[p[0], *(x for x in r["isr"] if x in p[1:])] for p, r in zip(placed, old, strict=True)]
+        placed = placement.least_movement(len(old), self.brokers(), self.topic(topic)["rf"], [(r["leader"], list(r["replicas"])) for r in old])
+        isr = [[leader, *(x for x in r["isr"] if x in replicas and x != leader)] for (leader, replicas), r in zip(placed, old, strict=True)]
         self._place(topic, placed, isr)
 
     def fail_over(self, dead: list[str]) -> None:
@@ -152,6 +210,33 @@ class Metadata:
         subscribed = self.spark.createDataFrame([(group, t) for t in topics], "group_id string, topic string")
         self.put("assignments", groups.assign(self.view("partitions").select("topic", "partition"), who, subscribed))
 
+    def assign(self, group: str, consumer: str, topic: str, partition: int) -> None:
+        """Gives one partition to one consumer."""
+        self.put_rows("assignments", [{"group_id": group, "topic": topic, "partition": partition, "consumer_id": consumer}])
+
+    def group(self, group: str) -> dict | None:
+        row = self.view("groups").where(F.col("group_id") == group).first()
+        return row.asDict() if row else None
+
+    def partition_of(self, group: str, topic: str, consumer: str) -> int:
+        """The consumer's first partition of a topic; 0 where it has none."""
+        own = self.view("assignments").where((F.col("group_id") == group) & (F.col("topic") == topic) & (F.col("consumer_id") == consumer))
+        return own.agg(F.coalesce(F.min("partition"), F.lit(0))).first()[0]
+
+    def trigger_rebalance(self, group: str) -> int:
+        """A group's next generation: consumers that hold an older one are to take their assignments anew."""
+        now = self.generation(group) + 1
+        self.put_rows("generations", [{"group_id": group, "generation": now}])
+        return now
+
+    def generation(self, group: str) -> int:
+        row = self.view("generations").where(F.col("group_id") == group).first()
+        return row["generation"] if row else 0
+
+    def replicated(self, status: DataFrame) -> None:
+        """(topic, partition, node, offset): how far nodes' copies go; the latest of each counts."""
+        self.put("replica_status", status)
+
     def unsubscribe(self, group: str) -> None:
         self.put("assignments", self.view("assignments").where(F.col("group_id") == group).select("group_id", "topic", "partition"), gone=True)
         self.put_rows("groups", [{"group_id": group}], gone=True)

@@ -10,15 +10,36 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from tidelog.sources.store import SCHEMA
+from tidelog.sources.store import SCHEMA, LogStore
 
 
 def topic_stream(spark: SparkSession, path: str, topics: list[str] | None = None, files: int = 100, schema: str = SCHEMA) -> DataFrame:
-    """New files of a log as they come; files bounds what a micro-batch takes."""
-    out = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+    """New batches of a store as they are put in place; files bounds what a micro-batch takes. What compaction writes is not new."""
+    base = f"{path}/data"
+    out = spark.readStream.schema(f"{schema}, entry string").option("basePath", base).option("maxFilesPerTrigger", files).parquet(f"{base}/entry=batch-*").drop("entry")
     return out.where(F.col("topic").isin(topics)) if topics else out
 
 
+class Subscription:
+    """A group's poll loop: starting it again while it runs changes nothing; closing it stops it."""
+
+    def __init__(self, store: LogStore, group: str, topics: list[str], handler: Callable[[DataFrame, int], None], commits: str, checkpoint: str, every: str | None = None):
+        if not group or not topics:
+            raise ValueError("a group and topics are needed")
+        self.start_with = (store, group, topics, handler, commits, checkpoint, every)
+        self.query: StreamingQuery | None = None
+
+    def start(self) -> StreamingQuery:
+        if self.query is None or not self.query.isActive:
+            store, group, topics, handler, commits, checkpoint, every = self.start_with
+            self.query = consume(topic_stream(store.spark, store.path, topics), handler, group, commits, checkpoint, every)
+        return self.query
+
+    def close(self) -> None:
+        if self.query is not None:
+            self.query.stop()
+
+
 def consume(stream: DataFrame, handler: Callable[[DataFrame, int], None], group: str, commits: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Runs handler on each micro-batch, then commits its highest offsets: at least once, and a replayed batch's commit replaces its own."""
 
@@ -39,6 +60,18 @@ def tumbling(stream: DataFrame, width: str = "1 day", late: str = "1 hour") -> D
     return stream.withWatermark("ts", late).groupBy("topic", F.window("ts", width)).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
 
 
+def sliding(stream: DataFrame, width: str = "2 days", step: str = "1 day", late: str = "1 hour") -> DataFrame:
+    return stream.withWatermark("ts", late).groupBy("topic", F.window("ts", width, step)).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+
+
+def within(left: DataFrame, right: DataFrame, seconds: int, late: str = "1 hour") -> DataFrame:
+    """(key, left_id, right_id) of messages of one key, the right one at most so many seconds after the left; both sides' state is bounded by the watermark."""
+    a = left.withWatermark("ts", late).select("key", F.col("id").alias("left_id"), F.col("ts").alias("left_ts"))
+    b = right.withWatermark("ts", late).select(F.col("key").alias("__key"), F.col("id").alias("right_id"), F.col("ts").alias("right_ts"))
+    near = (F.col("right_ts") >= F.col("left_ts")) & (F.col("right_ts") <= F.col("left_ts") + F.expr(f"interval {int(seconds)} seconds"))
+    return a.join(b, (F.col("key") == F.col("__key")) & near).select("key", "left_id", "right_id")
+
+
 def sessions(stream: DataFrame, gap: str = "6 hours", late: str = "1 hour") -> DataFrame:
     return stream.withWatermark("ts", late).groupBy("key", F.session_window("ts", gap)).agg(F.count(F.lit(1)).alias("n"))
 
