@@ -28,6 +28,15 @@ def by_offset(segments: DataFrame, least: int) -> DataFrame:
     return segments.where(~F.col("active") & (F.col("hi") < least)).select(*KEY)
 
 
+def composite(segments: DataFrame, now: Column, keep_s: int, max_bytes: int, least: int) -> DataFrame:
+    """What any of the three policies dooms, from one reading of the segments."""
+    w = Window.partitionBy("topic", "partition")
+    before = F.coalesce(F.sum("bytes").over(w.orderBy("base").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    age = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(keep_s).cast("decimal(18,6)"))
+    doomed = (F.col("last_ts") < now - age) | (F.col("left") > max_bytes) | (F.col("hi") < least)
+    return segments.withColumn("left", F.sum("bytes").over(w) - before).where(~F.col("active") & doomed).select(*KEY)
+
+
 def any_of(*doomed: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, doomed).distinct()
 

@@ -253,6 +253,12 @@ def retain_offset(spark, sf):
 
 @query("retain_composite", DOOMED["any"])
 def retain_composite(spark, sf):
+    return R.composite(S.by_count(X.log(spark, sf), COUNT), X.newest(spark, sf), KEEP_S, KEEP_BYTES, KEEP_FROM)
+
+
+@query("retain_any", DOOMED["any"])
+def retain_any(spark, sf):
+    """The same as a union of policies, each of which may be any DataFrame of segments."""
     return R.any_of(*(_doomed(spark, sf, k) for k in ("time", "size", "offset")))
 
 

@@ -566,7 +566,7 @@ def request_checks(spark, sf):
     return X.routed(spark, sf).select("seq", X31.request_fault(group, topic, ids).alias("fault"))
 
 
-@query("isr_changed", "select topic, partition, partition <> 0 as changed, false as turned, list_filter(replicas, lambda x: not list_contains((select list(broker) from brokers where now - last_seen > to_seconds(30)), x)) = replicas as all_alive from placed")
+@query("isr_changed", "select topic, partition, partition <> 0 as changed, false as turned, not list_has_any(replicas, dead) as all_alive from placed, (select list(broker) as dead from brokers where now - last_seen > to_seconds(30))")
 def isr_changed(spark, sf):
     """Whether in-sync sets differ from before: one lost, only turned round, or cut to the living brokers."""
     placed = placement.round_robin(X.leo(spark, sf).select(*PART), X.brokers(spark, sf), 3)
