@@ -60,6 +60,22 @@ def test_bpe_is_tiktoken(coder):
         assert [bpe.decode_ids(np.frombuffer(p, "<u4").tolist(), PATH).decode() for p in pieces] == [text[a:b] for a, b in zip(begins, [*begins[1:], len(text)], strict=False)]
 
 
+def test_long_slices_and_texts(coder):
+    r = random.Random(11)
+    ranks = bpe.merged(PATH).ranks
+    for n in (1, 2, 3, 50, 400, 5000):
+        for alphabet in ("ab", "abcdefghij", "0123456789abcdef", "aé中😀"):
+            t = "".join(r.choice(alphabet) for _ in range(n))
+            assert bpe.merge(t.encode(), ranks) == coder._core_bpe.encode_single_piece(t.encode())
+    parts = ["'", "s", "re", "ll", "word", " ", "  ", "\n", "\t", "1", "²", "é", "中", "!", "'s", " '", "x" * 90, " " * 70]
+    for size in (8, 64, 500):
+        t = "".join(r.choice(parts) for _ in range(400))
+        assert bpe.long_boundaries(t, size).tolist() == bpe.boundaries([t])[0].tolist()
+    long = "".join(r.choice(parts) for _ in range(120000))
+    ((ids, begins, pieces),) = bpe.encode_texts([long], PATH)
+    assert len(long) > bpe.STEP_CHARS and np.frombuffer(ids, "<u4").tolist() == coder.encode_ordinary(long)
+
+
 def test_bpe_query(spark, coder):
     want = {}
     for d, t in pd.read_parquet(f"{SF}/documents.parquet")[["doc_id", "text"]].itertuples(index=False):
@@ -72,6 +88,8 @@ def test_bpe_odd_rows(odd):
     got = bpe.encode(odd, PATH).collect()
     assert len(got) == len(ROWS) and {r.n_tokens for r in got if r.doc_id in (1, 2)} == {0}
     assert bpe.encode(odd.limit(0), PATH).count() == 0
+    clash = bpe.encode(odd.withColumns({c: F.lit("x") for c in ("ids", "n_tokens", "slice_starts")}), PATH).collect()
+    assert collections.Counter(map(str, clash)) == collections.Counter(map(str, got))
 
 
 # Language
@@ -750,6 +768,10 @@ def test_near_duplicates(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit(1))
     got = neardup.near_duplicates(df).collect()
     assert {x.doc_id: x.class_id for x in got} == classes_by_definition(rows) and len(got) == len({d for d, _ in rows})
+    nameless = spark.createDataFrame([(None, rows[0][1]), (None, None), (7, "a b c")], "doc_id long, text string")
+    assert sorted(map(str, map(tuple, neardup.near_duplicates(nameless).collect()))) == ["(7, 7, 1)", "(None, None, 1)", "(None, None, 1)"]
+    differing = spark.createDataFrame([(7, "a b c", i) for i in range(20)], "doc_id long, text string, n int")
+    assert neardup.keep_one(differing).collect() == neardup.keep_one(differing.repartition(4)).collect()
     kept = neardup.keep_one(df.unionByName(df.limit(1).withColumn("doc_id", F.lit(None).cast("long"))))
     assert kept.columns == df.columns
     ids = [x.doc_id for x in kept.collect()]

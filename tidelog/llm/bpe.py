@@ -7,7 +7,9 @@ associatively, so the text is cut into blocks: the blocks' functions are compose
 once, a doubling scan over the blocks gives each block's first state, and a second pass marks the
 positions where a slice begins. Slices go to a bounded cache of merged pairs.
 
-Null texts count as empty: no slice, no id. A text of any length is handled whole.
+Null texts count as empty: no slice, no id. A text of any length is handled whole, its slices being located in stretches of
+STEP_CHARS that begin where a slice does. Repeated rows and null keys are rows like others; other columns aren't read, whatever their names. An
+empty table gives no row.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import heapq
 import unicodedata
 from collections.abc import Iterable, Iterator
 
@@ -22,7 +25,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from tidelog.llm.common import ship, steps
+from tidelog.llm.common import STEP_CHARS, ship, steps
 
 # The code points of Unicode's White_Space property.
 WHITE_SPACE = (
@@ -131,22 +134,75 @@ def boundaries(texts: list[str]) -> list[np.ndarray]:
     return [begins[cuts[i] : cuts[i + 1]] - first[i] for i in range(len(texts))]
 
 
+def long_boundaries(text: str, size: int = STEP_CHARS) -> np.ndarray:
+    """boundaries() of one text, a stretch at a time: each begins where the last slice but for the stretch's end begins, as a slice's start needs nothing before it."""
+    out, pos, room = [], 0, size
+    while True:
+        found = boundaries([text[pos : pos + room]])[0]
+        if pos + room >= len(text):
+            return np.concatenate([*out, found + pos])
+        sure = found[found <= room - 4]  # the pattern looks ahead by two at most
+        if len(sure) > 1:
+            out.append(sure[:-1] + pos)
+            pos, room = pos + int(sure[-1]), size
+        else:
+            room *= 2  # a slice longer than the stretch
+
+
+def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of a slice: of all neighbouring pairs that have a rank, the lowest, leftmost one is joined, again and again.
+
+    Parts are a linked list and pairs a heap, so a slice of n bytes takes n log n steps however long it is.
+    """
+    whole = ranks.get(piece)
+    if whole is not None:
+        return [whole]
+    n = len(piece)
+    ends = list(range(1, n + 1))  # of the part that begins at i; the next part begins there
+    before = list(range(-1, n - 1))
+    get = ranks.get
+    now = [get(piece[i : i + 2], -1) for i in range(n - 1)] + [-1]  # rank of the pair whose left part begins at i, or -1
+    heap = [(r, i) for i, r in enumerate(now) if r >= 0]
+    heapq.heapify(heap)
+    while heap:
+        rank, i = heapq.heappop(heap)
+        if now[i] != rank:
+            continue  # one of its parts has been joined since
+        j = ends[i]
+        end = ends[i] = ends[j]
+        now[j] = -1
+        if end < n:
+            before[end] = i
+            now[i] = get(piece[i : ends[end]], -1)
+            if now[i] >= 0:
+                heapq.heappush(heap, (now[i], i))
+        else:
+            now[i] = -1
+        b = before[i]
+        if b >= 0:
+            now[b] = get(piece[b:end], -1)
+            if now[b] >= 0:
+                heapq.heappush(heap, (now[b], b))
+    out, i = [], 0
+    while i < n:
+        out.append(ranks[piece[i : ends[i]]])
+        i = ends[i]
+    return out
+
+
 class Merged(dict):
     """Slice -> its ids as little-endian 32-bit integers; bounded, and long slices aren't kept."""
 
     def __init__(self, path: str, limit: int = 200_000, longest: int = 64):
-        import tiktoken
-
         with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in f if x.strip())}
+            self.ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in f if x.strip())}
         self.limit, self.longest = limit, longest
-        self.merge = tiktoken.Encoding("ranks", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
-        self.tokens = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
+        self.tokens = [b""] * (max(self.ranks.values()) + 1)
+        for token, rank in self.ranks.items():
             self.tokens[rank] = token
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.merge(piece.encode()), "<u4").tobytes()
+        ids = np.array(merge(piece.encode(), self.ranks), "<u4").tobytes()
         if len(piece) <= self.longest:
             if len(self) >= self.limit:
                 self.clear()
@@ -164,7 +220,8 @@ def encode_texts(texts: list[str], path: str) -> Iterator[tuple[bytes, np.ndarra
     table = merged(path)
     for a, b in steps(texts):
         part = texts[a:b]
-        for text, begins in zip(part, boundaries(part), strict=True):
+        long = len(part) == 1 and len(part[0]) > STEP_CHARS
+        for text, begins in zip(part, [long_boundaries(part[0])] if long else boundaries(part), strict=True):
             cuts = begins.tolist()
             pieces = [table[text[i:j]] for i, j in zip(cuts, [*cuts[1:], len(text)])]
             yield b"".join(pieces), begins, pieces

@@ -3,23 +3,18 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
-from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidelog.sources.shared import hadoop, names, remove, rename, saved, settled, shared_dir, workspace  # noqa: F401
+
 ROOT = str(Path(__file__).resolve().parents[2])
 #: Characters that one vectorised step handles; it bounds a Python worker's arrays.
 STEP_CHARS = 500_000
 #: Texts are long: fewer rows to a batch than Spark's default, so workers that many stages share stay small.
 ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1024", "spark.sql.execution.arrow.maxBytesPerBatch": "16777216"}
-#: The folder in which saved() writes now, where workspace() holds one.
-_FOLDER: ContextVar[str | None] = ContextVar("folder", default=None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,65 +35,6 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, env.get("PYTHONPATH")]))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of this machine only where the session is local and names none."""
-    sc = spark.sparkContext
-    kept = sc._jsc.sc().getCheckpointDir()
-    if kept.isDefined():
-        return kept.get()
-    named = sc.getConf().get("spark.checkpoint.dir", None)
-    if not named and not sc.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a shared folder")
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidelog-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def hadoop(spark: SparkSession, path: str):
-    """(file system, path) as the JVM has them."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    fs, p = hadoop(spark, path)
-    fs.delete(p, True)
-
-
-@contextmanager
-def workspace(spark: SparkSession) -> Iterator[str]:
-    """A folder in the shared one for the tables that saved() writes inside; it goes when the block ends, or fails."""
-    path = f"{shared_dir(spark)}/work-{uuid.uuid4().hex}"
-    before = _FOLDER.set(path)
-    try:
-        yield path
-    finally:
-        _FOLDER.reset(before)
-        remove(spark, path)
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """The rows, computed once and written as Parquet in the shared folder: lineage is cut, sizes are known to the planner.
-
-    The files go with the workspace() around the call. Outside of one they stay (table-* in the shared folder) until the
-    caller deletes them, as rows are read from them whenever the result is used.
-    """
-    path = f"{_FOLDER.get() or shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def settled(spark: SparkSession, build: Callable[[], DataFrame]) -> DataFrame:
-    """What build() returns, written; the tables it saved on the way are gone."""
-    outer = _FOLDER.get()
-    with workspace(spark):
-        rows = build()
-        inner = _FOLDER.set(outer)
-        try:
-            return saved(rows)
-        finally:
-            _FOLDER.reset(inner)
-
-
 def crc_mod(col: Column, n: int) -> Column:
     return F.crc32(col.cast("string")) % n
 

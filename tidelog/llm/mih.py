@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.cells import best_of, matrix, search, usable
-from tidelog.llm.common import saved, table, unit_hash
+from tidelog.llm.common import saved, settled, table, unit_hash
 
 BITS, PIECE = 64, 8
 PIECES = BITS // PIECE
@@ -163,4 +163,4 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id",
 def query(spark, sf_dir):
     """op4: every 20th vector against all others."""
     vectors = table(spark, sf_dir, "embeddings")
-    return nearest(vectors, vectors.where(vectors["vec_id"] % 20 == 0))
+    return settled(spark, lambda _: nearest(vectors, vectors.where(vectors["vec_id"] % 20 == 0)))

@@ -187,4 +187,4 @@ def mixed_rows(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), factor:
 
 def query(spark, sf_dir):
     """op9: every document with the words the mix takes of it."""
-    return settled(spark, lambda: mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "expected"))
+    return settled(spark, lambda _: mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "expected"))

@@ -3,7 +3,8 @@
 A text is its multiset of five-word shingles (lower-case runs of word characters; a shorter text is one shingle).
 Texts of the same words are one node. Two nodes are linked if their weighted Jaccard similarity is at
 least 0.8; a class is what links connect. A text without words is linked to equal raw texts only; null
-texts, and rows without an id, are alone. A class's id is its smallest doc_id.
+texts, and rows without an id, are alone (the latter with a null class). A class's id is its smallest doc_id. Rows that repeat an id
+are one document, in one class. Other columns than the text and the id aren't read, whatever their names. An empty table gives no row.
 
 Signature. A shingle's weight, its count, is discretised in levels 1, 2, 3, ...; each level is a Poisson
 process of rate 1 whose points fall on signature slots at random, and a slot keeps its earliest point.
@@ -17,7 +18,9 @@ where possible; links join components. 2: in a bucket that still holds several c
 outside its largest is compared, exactly, with all the bucket's nodes of other components, through an inverted
 index of their shingles in cells of bounded size, and one link is returned for each two components that have
 any. So no link between components is lost to the pivots, a bucket that is one component costs
-nothing more, and what is returned is linear in nodes. Buckets are never capped.
+nothing more, and what is returned is linear in nodes. Buckets are never capped. A bucket that holds n nodes in several
+components, m of them outside its largest, is m x n / CELL^2 cells, so a node is copied m / CELL times there: the cells are bounded, their
+number grows with the square of such a bucket (not with the table).
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import saved, ship, table
+from tidelog.llm.common import saved, settled, ship, table
 
 WORD = re.compile(r"\w+")
 SHINGLE, SIMILAR = 5, 0.8
@@ -270,7 +273,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     done = per_id.join(classes, "comp").select("doc_id", "class_id", "n_rows")
     alone = docs.select(docs[key].alias("doc_id"), docs[text].alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").isNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_rows"))
     alone = alone.join(done.select("doc_id"), "doc_id", "left_anti").select("doc_id", F.col("doc_id").alias("class_id"), "n_rows")
-    return done.unionByName(alone)
+    nameless = docs.where(docs[key].isNull()).select(docs[key].alias("doc_id"), docs[key].alias("class_id"), F.lit(1).cast("long").alias("n_rows"))
+    return done.unionByName(alone).unionByName(nameless)
 
 
 def bagged(rows: DataFrame) -> DataFrame:
@@ -292,15 +296,17 @@ def bagged(rows: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows, all columns as they are, of each class's smallest id, once; rows without an id stay."""
+    """The rows, all columns as they are, of each class's smallest id, once; rows without an id stay. Of rows that repeat the id, that of smallest hash, so reruns agree."""
     classes = near_duplicates(docs, text, key)
     first = classes.where("doc_id = class_id").select(F.col("doc_id").alias("__id"), F.col("n_rows").alias("__n"))
     rows = docs.select(F.struct("*").alias("__row"), docs[key].alias("__key"))  # names in docs can't clash
     kept = rows.join(first, F.col("__key") == F.col("__id"))
-    out = kept.where("__n = 1").unionByName(kept.where("__n > 1").dropDuplicates(["__id"])).select("__row")
+    one = F.min_by("__row", F.xxhash64(F.to_json("__row", {"ignoreNullFields": "false"})))
+    again = kept.where("__n > 1").groupBy("__id").agg(one.alias("__row"))  # rows are combined where they lie
+    out = kept.where("__n = 1").select("__row").unionByName(again.select("__row"))
     return out.unionByName(rows.where("__key is null").select("__row")).select("__row.*")
 
 
 def query(spark, sf_dir):
     """op3: the near-duplicate class of every document."""
-    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+    return settled(spark, lambda _: near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id"))

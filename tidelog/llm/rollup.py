@@ -179,6 +179,6 @@ def query(spark, sf_dir):
     rollup.compact("all")
     rollup.compact("all")
     try:
-        return settled(spark, rollup.totals)
+        return settled(spark, lambda _: rollup.totals())
     finally:
         remove(spark, path)
