@@ -2,7 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each stage's rows as
 Parquet to the shared folder and hands what it reads back to the next. All but the last return the
-columns of documents.
+columns of documents. Tables that a stage writes on its way go when its rows are written, and a stage's rows
+go when the next stage's are; what run() returns is read from one folder, which the caller may delete after use.
+
+Null and empty texts: the first stage finds no language in them, so they go. Rows without an id are documents of their own and stay
+through all stages; rows that repeat an id are one document, of which the second stage keeps one row. Extra columns go through all stages but the last
+as they are. An empty table gives no row.
 """
 
 from __future__ import annotations
@@ -13,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import bpe, langid, mixing, neardup, pii
-from tidelog.llm.common import shared_dir, table
+from tidelog.llm.common import remove, shared_dir, table, workspace
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,10 +61,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         path = f"{base}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with workspace(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
