@@ -689,6 +689,24 @@ def test_exact_top_k(spark):
     assert blockmax.exact_top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_leaves_are_skipped_where_rows_cluster(spark):
+    """The share of (query, leaf) pairs that are searched falls as clustered rows grow, and the result stays that of brute force."""
+    r = np.random.default_rng(3)
+    shares = []
+    for n in (1000, 8000):
+        centre = r.standard_normal((n // 125, 16)) * 4
+        v = np.floor(256 * (np.repeat(centre, 125, axis=0) + 0.05 * r.standard_normal((n, 16))))
+        df = spark.createDataFrame([(i, x) for i, x in enumerate((v / 256).tolist())], "vec_id long, embedding array<double>")
+        spent = {}
+        got = blockmax.exact_top_k(df, df.where("vec_id % 50 = 0"), shard_rows=125, spent=spent).toPandas().sort_values(["query_id", "rank"])
+        shares.append(spent["searched"] / spent["pairs"])
+        for q, g in got.groupby("query_id"):
+            s = v @ v[q]
+            s[q] = -np.inf
+            assert g.vec_id.tolist() == np.lexsort((np.arange(n), -s))[:5].tolist() and g.score.tolist() == sorted(s, reverse=True)[:5]
+    assert shares[1] < shares[0] <= 0.2
+
+
 def test_blocks_are_skipped_where_bounds_tell():
     x = np.vstack([np.full((64, 4), v) + np.arange(64)[:, None] % 3 for v in (0.0, 100.0, 200.0, 300.0)])
     *_, scored = blockmax.block_search(np.ones((1, 4)), np.array([-1]), x, np.arange(len(x)), 5)

@@ -58,14 +58,7 @@ def best_of(found: DataFrame, k: int) -> DataFrame:
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def search(rows: DataFrame, queries: DataFrame, n_rows: int, n_queries: int, width: int, k: int, run: CellSearch, score: str, shard_rows: int, group_rows: int = 4096) -> DataFrame:
-    """query_id, rank, vec_id, score. rows: (id, vec); queries: (id, vec, extra)."""
-    ship(rows.sparkSession)
-    shards, groups = max(1, math.ceil(n_rows / shard_rows)), max(1, math.ceil(n_queries / group_rows))
-    each = lambda n: F.explode(F.array(*map(F.lit, range(n))) if n < 64 else F.sequence(F.lit(0), F.lit(n - 1)))
-    dealt = rows.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("s"), each(groups).alias("g"))
-    asked = queries.select("id", "vec", "extra", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(groups)).cast("int").alias("g"), each(shards).alias("s"))
-
+def cell_of(run: CellSearch, width: int, k: int, score: str) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
     def cell(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(d):
             return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0, "f8" if score == "double" else "i8")})
@@ -75,6 +68,38 @@ def search(rows: DataFrame, queries: DataFrame, n_rows: int, n_queries: int, wid
         row, vec_id, points = top(*found, k)
         return pd.DataFrame({"query_id": ids[row], "vec_id": vec_id, "score": points})
 
+    return cell
+
+
+def search(rows: DataFrame, queries: DataFrame, n_rows: int, n_queries: int, width: int, k: int, run: CellSearch, score: str, shard_rows: int, group_rows: int = 4096) -> DataFrame:
+    """query_id, rank, vec_id, score. rows: (id, vec); queries: (id, vec, extra)."""
+    ship(rows.sparkSession)
+    shards, groups = max(1, math.ceil(n_rows / shard_rows)), max(1, math.ceil(n_queries / group_rows))
+    each = lambda n: F.explode(F.array(*map(F.lit, range(n))) if n < 64 else F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = rows.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("s"), each(groups).alias("g"))
+    asked = queries.select("id", "vec", "extra", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(groups)).cast("int").alias("g"), each(shards).alias("s"))
+
+    kind = rows.schema["id"].dataType if isinstance(rows.schema["id"].dataType, T.IntegralType) else T.LongType()
+    best = asked.groupBy("g", "s").cogroup(dealt.groupBy("g", "s")).applyInPandas(cell_of(run, width, k, score), f"query_id {kind.simpleString()}, vec_id {kind.simpleString()}, score {score}")
+    return best_of(best, k)
+
+
+def search_leaves(rows: DataFrame, queries: DataFrame, parts: list[int], width: int, k: int, run: CellSearch, score: str, group_rows: int = 4096) -> DataFrame:
+    """As search(), of rows dealt to leaves and queries sent to some. rows: (id, vec, leaf); queries: (id, vec, least, leaves).
+
+    parts: into how many shards each leaf's rows are split. A leaf's queries are split into groups of about group_rows, by how many are sent to it.
+    """
+    ship(rows.sparkSession)
+    of = lambda xs, leaf: F.element_at(F.array(*(F.lit(x) for x in xs)), leaf + 1)
+    asked = queries.select("id", "vec", F.col("least").alias("extra"), F.explode("leaves").alias("leaf"))
+    hits = {r["leaf"]: r["count"] for r in asked.groupBy("leaf").count().collect()}  # a row a leaf
+    groups = [math.ceil(hits.get(i, 0) / group_rows) for i in range(len(parts))]
     kind = rows.schema["id"].dataType if isinstance(rows.schema["id"].dataType, T.IntegralType) else T.LongType()
-    best = asked.groupBy("g", "s").cogroup(dealt.groupBy("g", "s")).applyInPandas(cell, f"query_id {kind.simpleString()}, vec_id {kind.simpleString()}, score {score}")
+    schema = f"query_id {kind.simpleString()}, vec_id {kind.simpleString()}, score {score}"
+    if not hits:
+        return best_of(rows.sparkSession.createDataFrame([], schema), k)
+    to = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    dealt = rows.withColumn("g", of(groups, F.col("leaf"))).where("g > 0").select("id", "vec", "leaf", F.pmod(F.xxhash64("id"), of(parts, F.col("leaf"))).cast("int").alias("s"), to(F.col("g")).alias("g"))
+    sent = asked.withColumn("p", of(parts, F.col("leaf"))).where("p > 0").select("id", "vec", "extra", "leaf", F.pmod(F.xxhash64("id", F.lit(1)), of(groups, F.col("leaf"))).cast("int").alias("g"), to(F.col("p")).alias("s"))
+    best = sent.groupBy("leaf", "g", "s").cogroup(dealt.groupBy("leaf", "g", "s")).applyInPandas(cell_of(run, width, k, score), schema)
     return best_of(best, k)
