@@ -18,6 +18,7 @@ import base64
 import functools
 import hashlib
 import heapq
+import struct
 import unicodedata
 from collections.abc import Iterable, Iterator
 
@@ -33,6 +34,8 @@ WHITE_SPACE = (
     0x2005, 0x2006, 0x2007, 0x2008, 0x2009, 0x200A, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
 )
 OTHER, LETTER, NUMBER, SPACE = range(4)
+#: Bytes of a slice that is merged on plain lists; what stands for no rank there.
+SHORT, NO_RANK = 48, 1 << 62
 
 # Symbols: a space or other white space is "last" if text that isn't white space follows it.
 LET, NUM, OTH, SP_LAST, WS_LAST, WS_MID, APOS1, APOS2, RESET = range(9)
@@ -158,9 +161,21 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     if whole is not None:
         return [whole]
     n = len(piece)
+    get = ranks.get
+    if n <= SHORT:  # the same on plain lists, which is faster as long as they are short
+        parts = [piece[i : i + 1] for i in range(n)]
+        pairs = [get(piece[i : i + 2], NO_RANK) for i in range(n - 1)]
+        while pairs and (lowest := min(pairs)) != NO_RANK:
+            i = pairs.index(lowest)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del pairs[i]
+            if i:
+                pairs[i - 1] = get(parts[i - 1] + parts[i], NO_RANK)
+            if i < len(pairs):
+                pairs[i] = get(parts[i] + parts[i + 1], NO_RANK)
+        return [ranks[p] for p in parts]
     ends = list(range(1, n + 1))  # of the part that begins at i; the next part begins there
     before = list(range(-1, n - 1))
-    get = ranks.get
     now = [get(piece[i : i + 2], -1) for i in range(n - 1)] + [-1]  # rank of the pair whose left part begins at i, or -1
     heap = [(r, i) for i, r in enumerate(now) if r >= 0]
     heapq.heapify(heap)
@@ -191,22 +206,28 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Merged(dict):
-    """Slice -> its ids as little-endian 32-bit integers; bounded, and long slices aren't kept."""
+    """Slice -> its ids as little-endian 32-bit integers. Bounded: what was used since the last time it was full is kept, the rest goes; slices over longest aren't kept."""
 
-    def __init__(self, path: str, limit: int = 200_000, longest: int = 64):
+    def __init__(self, path: str, limit: int = 16_000_000, longest: int = 512):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in f if x.strip())}
-        self.limit, self.longest = limit, longest
+        self.limit, self.longest, self.held = limit, longest, 0  # characters, and 32 for each slice
+        self.older: dict[str, bytes] = {}
         self.tokens = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(merge(piece.encode(), self.ranks), "<u4").tobytes()
+        ids = self.older.get(piece)
+        if ids is None:
+            found = merge(piece.encode(), self.ranks)
+            ids = struct.pack(f"<{len(found)}I", *found)
         if len(piece) <= self.longest:
-            if len(self) >= self.limit:
+            if self.held > self.limit:
+                self.older, self.held = dict(self), 0
                 self.clear()
             self[piece] = ids
+            self.held += len(piece) + 32
         return ids
 
 
