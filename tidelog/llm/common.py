@@ -13,6 +13,7 @@ from tidelog.sources.shared import hadoop, names, remove, rename, saved, settled
 ROOT = str(Path(__file__).resolve().parents[2])
 #: Characters that one vectorised step handles; it bounds a Python worker's arrays.
 STEP_CHARS = 500_000
+SALTS = 64
 #: Texts are long: fewer rows to a batch than Spark's default, so workers that many stages share stay small.
 ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1024", "spark.sql.execution.arrow.maxBytesPerBatch": "16777216"}
 
@@ -44,6 +45,13 @@ def unit_hash(*cols: Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
 
 
+def lowest(rows: DataFrame, by: str, order: list[str], n: int) -> DataFrame:
+    """The n first rows of each value of by. Ranked in each task, then in SALTS groups of a value, then over what is left of these (SALTS x n rows a value at most)."""
+    salt = F.pmod(F.xxhash64(*order), F.lit(SALTS)).alias("__salt")
+    some = rows.select("*", salt).withColumn("__r", F.row_number().over(Window.partitionBy(by, "__salt").orderBy(*order))).where(F.col("__r") <= n).drop("__r", "__salt")
+    return some.withColumn("__r", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("__r") <= n).drop("__r")
+
+
 def bounded(rows: DataFrame, per: int, chars: int) -> list[tuple]:
     """(label, text) of at most per rows and chars characters of each label, in a fixed order: those of lowest hash of the key.
 
@@ -52,8 +60,7 @@ def bounded(rows: DataFrame, per: int, chars: int) -> list[tuple]:
     of a key and label count once; null texts and labels not at all. Labels must be few.
     """
     known = rows.where(F.col("t").isNotNull() & F.col("y").isNotNull()).select("y", unit_hash(F.col("k")).alias("u"), F.xxhash64("t").alias("d"), F.length("t").alias("n"), "t")
-    first = Window.partitionBy("y").orderBy("u", "d")
-    ranked = known.select("y", "u", "d", "n").withColumn("r", F.row_number().over(first)).where(F.col("r") <= per)  # a limit by group, taken in each task before rows are sent
+    ranked = lowest(known.select("y", "u", "d", "n"), "y", ["u", "d"], per)
     held: dict = {}
     chosen = []
     for x in sorted({(r.y, r.u, r.d, r.n) for r in ranked.collect()}):

@@ -25,10 +25,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import bounded, crc_mod, ship, table, unit_hash
+from tidelog.llm.common import bounded, crc_mod, lowest, ship, table, unit_hash
 
 WORD = re.compile(r"[^\W\d_]+")
 SHORTEST, LONGEST = 3, 9
@@ -169,7 +169,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: Column | None = None, text:
     """
     marked = (labels if rows is None else labels.where(rows)).select(labels[key].alias("k"), labels[label].alias("y")).where(F.col("k").isNotNull() & F.col("y").isin(0, 1))
     marked = marked.groupBy("k").agg(F.max("y").alias("y"))
-    ranked = marked.withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy(unit_hash(F.col("k")), "k"))).where(F.col("r") <= docs_per_class)
+    ranked = lowest(marked.withColumn("u", unit_hash(F.col("k"))), "y", ["u", "k"], docs_per_class)
     chosen = docs.sparkSession.createDataFrame([(r.k, r.y) for r in ranked.collect()], marked.schema)  # 2 x docs_per_class keys at most
     texts = docs.select(docs[key].alias("k"), docs[text].alias("t")).join(F.broadcast(chosen), "k")
     sample = bounded(texts, docs_per_class, chars_per_class)
