@@ -374,18 +374,18 @@ def metadata_changes(spark, sf):
     return settled(spark, build)
 
 
-@query("service_registry", "select 'lmq' as service, n_name as node, 'h' || case when n_nationkey % 3 = 0 then n_nationkey + 100 else n_nationkey end as address from nation where n_nationkey % 5 <> 0")
+@query("service_registry", "select 'log' as service, n_name as node, 'h' || case when n_nationkey % 3 = 0 then n_nationkey + 100 else n_nationkey end as address from nation where n_nationkey % 5 <> 0")
 def service_registry(spark, sf):
     """Every broker registered, each third again with another address, each fifth unregistered."""
 
     def build(folder: str) -> DataFrame:
         m, b = Metadata(spark, folder), X.brokers(spark, sf)
         at = lambda k: F.concat(F.lit("h"), k.cast("string")).alias("address")
-        name = [F.lit("lmq").alias("service"), F.col("broker").alias("node")]
+        name = [F.lit("log").alias("service"), F.col("broker").alias("node")]
         m.put("services", b.select(*name, at(F.col("k"))))
         m.put("services", b.where("k % 3 = 0").select(*name, at(F.col("k") + 100)))
         m.put("services", b.where("k % 5 = 0").select(*name), gone=True)
-        return m.discover("lmq").select(F.lit("lmq").alias("service"), "node", "address")
+        return m.discover("log").select(F.lit("log").alias("service"), "node", "address")
 
     return settled(spark, build)
 
