@@ -797,6 +797,43 @@ def test_near_duplicates(spark):
     assert neardup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_wide_buckets(spark, monkeypatch):
+    """Texts with a passage in common, in buckets of far more components than a cell holds."""
+    monkeypatch.setattr(neardup, "CELL", 4)
+    r = random.Random(11)
+    vocab = [f"{a}{b}{c}" for a in "bcdfghjklm" for b in "aeiou" for c in "nrst"]
+    passage = [r.choice(vocab) for _ in range(100)]
+    rows = []
+    for n in range(150):
+        own = [r.choice(vocab) for _ in range(r.randint(0, 60))]
+        rows.append((n, " ".join(passage + own)))
+        if n % 10 == 0:
+            rows.append((1000 + n, " ".join(passage + own[:-4] + [r.choice(vocab)])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    widths = []
+    kept = neardup.rarest
+    monkeypatch.setattr(neardup, "rarest", lambda nodes, bags: widths.append(nodes.count()) or kept(nodes, bags))
+    assert {x.doc_id: x.class_id for x in neardup.near_duplicates(df).collect()} == classes_by_definition(rows)
+    assert widths and widths[0] > 50
+
+
+def test_rarest_elements(spark):
+    r = np.random.default_rng(4)
+    shared = r.integers(0, 2**62, 60)
+    bags = [np.unique(np.concatenate([shared, r.integers(0, 2**62, 40)])) for _ in range(300)]  # a passage in common: none can be linked
+    bags += [np.unique(np.concatenate([b[:n], r.integers(0, 2**62, 100 - n)])) for b in bags[:40] for n in (86, 88, 90, 92)]
+    bags += [r.choice(400, n, replace=False) for n in r.integers(1, 400, 80)] + [np.arange(400)] * 2
+    df = spark.createDataFrame([(i.to_bytes(4, "big"), [int(x) for x in b]) for i, b in enumerate(bags)], "node binary, bag array<bigint>")
+    keys = collections.defaultdict(set)
+    for x in neardup.rarest(df.select("node"), df).collect():
+        keys[int.from_bytes(x.node, "big")].add(x.h)
+    for a in range(len(bags)):
+        for b in range(a):
+            both = len(np.intersect1d(bags[a], bags[b], assume_unique=True))
+            assert 5 * both < 4 * (len(bags[a]) + len(bags[b]) - both) or keys[a] & keys[b]
+    assert not any(keys[i] for i in range(40, 300))
+
+
 def test_signatures_are_unbiased():
     r = np.random.default_rng(0)
     off = []

@@ -18,9 +18,13 @@ where possible; links join components. 2: in a bucket that still holds several c
 outside its largest is compared, exactly, with all the bucket's nodes of other components, through an inverted
 index of their shingles in cells of bounded size, and one link is returned for each two components that have
 any. So no link between components is lost to the pivots, a bucket that is one component costs
-nothing more, and what is returned is linear in nodes. Buckets are never capped. A bucket that holds n nodes in several
-components, m of them outside its largest, is m x n / CELL^2 cells, so a node is copied m / CELL times there: the cells are bounded, their
-number grows with the square of such a bucket (not with the table).
+nothing more, and what is returned is linear in nodes. Buckets are never capped. A bucket of n nodes, CELL at most of
+them outside its largest component, is n / CELL cells. 3: nodes of a bucket with more outside it are dealt anew, by their
+rarest elements: of two texts at the threshold each has the other's fifth of elements, in any one order of all elements, that
+comes first in part, so those who share none of these can't be linked. Rare elements come first, those of one node only
+aren't dealt, and what many texts have in common (a passage, a template) thus brings nodes together only if little else is
+in them. The nodes of an element go through step 2's cells; n nodes whose rarest elements are the same, in as many
+components, are still n^2 / CELL^2 cells.
 """
 
 from __future__ import annotations
@@ -215,15 +219,36 @@ def linked(bags: list[np.ndarray], comp: np.ndarray, asks: np.ndarray) -> list[t
     return out
 
 
-def across(members: DataFrame, bags: DataFrame, comps: DataFrame) -> DataFrame:
-    """Links (a, b) between nodes of different components of a bucket, one at least for each two components that have any."""
+def opened(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """h, node, comp, asks, all, rest of the buckets (h, node) of several components: asks is true outside the largest; the cells of all nodes, and of those that ask."""
     known = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     sizes = known.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"))
     open_ = sizes.groupBy("h").agg(F.sum("c").alias("size"), F.max("c").alias("big"), F.max_by("comp", F.struct("c", "comp")).alias("core"), F.bit_xor("x").alias("x"), F.count(F.lit(1)).alias("k")).where("k > 1")
     open_ = open_.groupBy("size", "x", "core", "big").agg(F.min("h").alias("h"))  # buckets of the same nodes count once
-    part = lambda n: F.ceil(F.col(n) / CELL).cast("int")
-    mine = known.join(open_.select("h", "core", part("size").alias("all"), F.ceil((F.col("size") - F.col("big")) / CELL).cast("int").alias("rest")), "h")
-    mine = mine.withColumn("asks", F.col("comp") != F.col("core"))
+    part = lambda n: F.ceil(n / CELL).cast("int")
+    mine = known.join(open_.select("h", "core", part(F.col("size")).alias("all"), part(F.col("size") - F.col("big")).alias("rest")), "h")
+    return mine.select("h", "node", "comp", (F.col("comp") != F.col("core")).alias("asks"), "all", "rest")
+
+
+def rarest(nodes: DataFrame, bags: DataFrame) -> DataFrame:
+    """(h, node): the elements by which a node can meet one of similarity SIMILAR among nodes (distinct), as buckets.
+
+    Elements are ordered by the nodes that hold them. A node of s elements shares 4 s / 5 with such a one at least, so one of the
+    s - ceil(4 s / 5) + 1 that come first, for both. Those of one node come before all others and are counted, not returned.
+    """
+    held = nodes.join(bags, "node").select("node", F.size("bag").alias("s"), F.explode("bag").alias("e"))
+    often = held.groupBy("e").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    common = held.join(often, "e").groupBy("node").agg(F.first("s").alias("s"), F.sort_array(F.collect_list(F.struct("df", "e"))).alias("es"))
+    first = F.col("s") - F.expr("(4 * s + 4) div 5") + 1 - (F.col("s") - F.size("es"))
+    return common.select("node", F.explode(F.slice("es", 1, F.greatest(first, F.lit(0)).cast("int"))).alias("k")).select(F.xxhash64(F.lit("e"), "k.e").alias("h"), "node")
+
+
+def across(members: DataFrame, bags: DataFrame, comps: DataFrame) -> DataFrame:
+    """Links (a, b) between nodes of different components of a bucket, one at least for each two components that have any."""
+    mine = saved(opened(members, comps))
+    wide = mine.where("rest > 1").select("node").distinct()
+    if not wide.isEmpty():
+        mine = saved(mine.where("rest = 1").unionByName(opened(rarest(wide, bags), comps)))
     every = mine.select("h", "node", "comp", "asks", F.lit(False).alias("only"), F.pmod(F.xxhash64("node"), F.col("all")).cast("int").alias("j"), F.explode(F.sequence(F.lit(0), F.col("rest") - 1)).alias("i"))
     asking = mine.where("asks and all * rest > 1").select("h", "node", "comp", "asks", F.lit(True).alias("only"), F.explode(F.sequence(F.lit(0), F.col("all") - 1)).alias("j"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("rest")).cast("int").alias("i"))
     cells = every.unionByName(asking).join(bags, "node")
