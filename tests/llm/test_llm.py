@@ -17,7 +17,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from tidelog.llm import blockmax, bpe, chat, langid, mih, mixing, neardup, pii, rollup, toxicity
-from tidelog.llm.common import shared_dir
+from tidelog.llm.common import shared_dir, unit_hash
 
 SF = "/root/testdata/sf0.001"
 PATH = P.path("byte_bpe_50k.tiktoken")
@@ -342,6 +342,15 @@ def test_a_bounded_sample_is_bounded(spark):
     assert toxicity.bounded(df.limit(0), 20, 500) == []
 
 
+def test_a_bounded_sample_is_that_of_lowest_hashes(spark):
+    rows = [(i, "a", f"t{i}") for i in range(3000)] + [(7, "a", f"u{i}") for i in range(3000)] + [(8, "b", "same")] * 3000 + [(i, "b", "v") for i in range(9, 40)] + [(None, "b", f"w{i}") for i in range(50)]
+    df = spark.createDataFrame(rows, "k long, y string, t string")
+    u = F.when(F.col("k").isNull(), unit_hash(F.col("t"))).otherwise(unit_hash(F.col("k")))
+    every = sorted({(r.y, r.u, r.d, r.t) for r in df.select("y", u.alias("u"), F.xxhash64("t").alias("d"), "t").collect()})
+    for n in (1, 30, 70):  # repeated rows leave too few under the first edge
+        assert toxicity.bounded(df, n, 10**6) == [(y, t) for x in "ab" for y, _, _, t in [e for e in every if e[0] == x][:n]]
+
+
 # Personal data
 
 PLAIN = {

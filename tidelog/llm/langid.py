@@ -317,10 +317,11 @@ def learn(docs: DataFrame, rows: Column | None = None, text: str = "text", lang:
     than max_langs languages are an error, as a model holds every n-gram for every language.
     """
     known = (docs if rows is None else docs.where(rows)).select(docs[key].alias("k"), docs[text].alias("t"), docs[lang].alias("y")).where(F.col("t").isNotNull() & F.col("y").isNotNull() & (F.col("y") != UND))
-    if len(known.select("y").distinct().limit(max_langs + 1).collect()) > max_langs:
+    counts = {r["y"]: r["count"] for r in known.groupBy("y").count().limit(max_langs + 1).collect()}
+    if len(counts) > max_langs:
         raise ValueError(f"over {max_langs} languages to learn")
     samples: dict[str, list[str]] = {}
-    for y, t in bounded(known, docs_per_lang, chars_per_lang):
+    for y, t in bounded(known, docs_per_lang, chars_per_lang, counts):
         samples.setdefault(y, []).append(t)
     return fit(samples)
 

@@ -169,10 +169,11 @@ def learn(docs: DataFrame, labels: DataFrame, rows: Column | None = None, text:
     """
     marked = (labels if rows is None else labels.where(rows)).select(labels[key].alias("k"), labels[label].alias("y")).where(F.col("k").isNotNull() & F.col("y").isin(0, 1))
     marked = marked.groupBy("k").agg(F.max("y").alias("y"))
-    ranked = lowest(marked.withColumn("u", unit_hash(F.col("k"))), "y", ["u", "k"], docs_per_class)
-    chosen = docs.sparkSession.createDataFrame([(r.k, r.y) for r in ranked.collect()], marked.schema)  # 2 x docs_per_class keys at most
+    counts = {r["y"]: r["count"] for r in marked.groupBy("y").count().collect()}
+    ranked = lowest(marked.withColumn("u", unit_hash(F.col("k"))), "y", ["u", "k"], docs_per_class, counts)
+    chosen = docs.sparkSession.createDataFrame([(r.k, r.y) for r in ranked], marked.schema)  # 2 x docs_per_class keys at most
     texts = docs.select(docs[key].alias("k"), docs[text].alias("t")).join(F.broadcast(chosen), "k")
-    sample = bounded(texts, docs_per_class, chars_per_class)
+    sample = bounded(texts, docs_per_class, chars_per_class, dict(Counter(r.y for r in ranked)))
     # Classes take turns, so that each part of the fit has both.
     turn = sorted(range(len(sample)), key=lambda i: (i - (0 if sample[i][0] == sample[0][0] else sum(y == sample[0][0] for y, _ in sample)), sample[i][0]))
     return fit([sample[i][1] for i in turn], [int(sample[i][0]) for i in turn])
