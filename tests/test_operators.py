@@ -1,12 +1,14 @@
 import datetime as dt
+import os
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidelog.broker import Broker
 from tidelog.functions import routing
-from tidelog.operators import iosim, log, placement, segments
+from tidelog.operators import groups, iosim, log, placement, segments
 from tidelog.producer import Producer
 from tidelog.sources.metadata import Metadata
 from tidelog.sources.store import LogStore
@@ -249,6 +251,58 @@ def test_consume_commits_after_the_handler(spark, tmp_path):
     assert commits.agg(F.sum("offset")).first()[0] == 60
 
 
+def later_first(store, *entries):
+    """Files of the entries named first get the oldest times, by which a stream takes them."""
+    now = dt.datetime.now().timestamp() - 1000
+    for i, entry in enumerate(entries):
+        for k, f in enumerate(sorted(Path(store.path, "data", f"entry={entry}").rglob("*.parquet"))):
+            os.utime(f, (now + 100 * i + k,) * 2)
+
+
+def test_commits_of_files_that_come_out_of_order(spark, tmp_path):
+    store = LogStore(spark, str(tmp_path / "log"))
+    for batch in (1, 2, 3):
+        store.publish(messages(spark, 60, start=60 * (batch - 1)), batch)
+    later_first(store, "batch-000000000003", "batch-000000000001", "batch-000000000002")
+    seen = []
+    stream = consumer.topic_stream(spark, store.path, ["t"], files=1)
+    q = consumer.consume(stream, lambda df, n: seen.extend((r.partition, r.offset, n) for r in df.collect()), "g", str(tmp_path / "commits"), str(tmp_path / "cp"))
+    q.awaitTermination()
+    assert q.exception() is None and len(seen) == 180 and len({n for _, _, n in seen}) == 9
+    commits = spark.read.parquet(str(tmp_path / "commits"))
+    want = {r.partition: r.next_offset for r in store.end_offsets().collect()}
+    assert {r.partition: r.committed for r in groups.committed(commits).collect()} == want
+    for c in commits.collect():  # none passes what wasn't handled, or stays below what was
+        done = {o for p, o, n in seen if p == c.partition and n <= c.commit_seq}
+        assert set(range(c.offset)) <= done and c.offset not in done
+
+
+def test_commits_pass_deleted_segments(spark, tmp_path):
+    store = LogStore(spark, str(tmp_path / "log"))
+    for batch in (1, 2, 3, 4):
+        store.publish(messages(spark, 60, start=60 * (batch - 1)), batch)
+    rows = [(s.topic, s.partition, s.base) for s in store.segments().collect() if s.entry[-1] in "13"]
+    store.delete(spark.createDataFrame(rows, "topic string, partition int, base bigint"))
+    later_first(store, "batch-000000000004", "batch-000000000002")
+    sub = consumer.Subscription(store, "g", ["t"], lambda df, n: None, str(tmp_path / "commits"), str(tmp_path / "cp"))
+    sub.start().awaitTermination()
+    store.publish(messages(spark, 60, start=240), 5)
+    sub.start().awaitTermination()
+    want = {r.partition: r.next_offset for r in store.end_offsets().collect()}
+    assert {r.partition: r.committed for r in groups.committed(spark.read.parquet(str(tmp_path / "commits"))).collect()} == want
+
+
+def test_runs_of_offsets(spark):
+    rng = random.Random(5)
+    rows = [(t, 0, o) for t in ("a", None) for o in rng.sample(range(250_000), 3_000) + list(range(99_990, 100_010)) * 2]
+    got = consumer.merged(consumer.runs(spark.createDataFrame(rows, "topic string, partition int, offset bigint"))).collect()
+    for t in ("a", None):
+        have = sorted({o for x, _, o in rows if x == t})
+        starts = [o for i, o in enumerate(have) if not i or have[i - 1] != o - 1]
+        ends = [o + 1 for i, o in enumerate(have) if i + 1 == len(have) or have[i + 1] != o + 1]
+        assert sorted((r.first, r.next) for r in got if r.topic == t) == list(zip(starts, ends, strict=True))
+
+
 def test_streamed_windows_and_delays(spark, tmp_path):
     store = LogStore(spark, str(tmp_path / "log"))
     store.publish(messages(spark, 60), 1)

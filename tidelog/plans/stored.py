@@ -317,7 +317,7 @@ def stream_commits(spark, sf):
         topics = [t for t in b.meta.topics() if t != "extra"]
         sub = consumer.Subscription(b.store, "g1", topics, lambda rows, n: rows.write.mode("overwrite").parquet(f"{folder}/seen/n={n}"), f"{folder}/commits", f"{folder}/checkpoint")
         sub.start()
-        sub.start().awaitTermination(600)
+        sub.start().awaitTermination()
         commits = spark.read.parquet(f"{folder}/commits").select("group_id", *PART, "offset", "commit_seq")
         return G.committed(commits).select("group_id", *PART, F.col("committed").alias("offset"))
 
