@@ -12,36 +12,56 @@ as they are. An empty table gives no row.
 
 from __future__ import annotations
 
+import functools
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import bpe, langid, mixing, neardup, pii
-from tidelog.llm.common import remove, shared_dir, table, workspace
+from tidelog.llm.common import give_back, remove, shared_dir, table, workspace
 
 
+def lean(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage, beginning and ending with no native memory held that earlier plans have freed."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        give_back(spark)
+        out = stage(spark, docs, sf_dir)
+        give_back(spark)
+        return out
+
+    return run_stage
+
+
+@lean
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that some document names; texts that fit none go."""
     return langid.keep_identified(docs, langid.learn(docs))
 
 
+@lean
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each near-duplicate class."""
     return neardup.keep_one(docs)
 
 
+@lean
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data replaced by its kind in brackets; n_chars follows the text."""
     out = pii.redacted(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
+@lean
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mixture takes them."""
     return mixing.mixed_rows(docs)
 
 
+@lean
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document of the mixture."""
     import public_tokenizers

@@ -82,3 +82,33 @@ def test_run_leaves_one_folder(spark):
     done = corpus_pipeline.run(spark, SF)
     (new,) = {n for n in os.listdir(root) if n not in before and not n.startswith("broker-")}
     assert os.listdir(f"{root}/{new}") == ["4-byte_bpe"] and done.count() > 0
+
+
+def test_stages_give_freed_native_memory_back(spark):
+    """Native memory that the driver's JVM has freed between blocks still in use goes back to the system with the next stage, and with the next saved table."""
+    import re
+    from pathlib import Path
+
+    from tidelog.llm.common import saved
+
+    jvm = spark.sparkContext._jvm
+    pid = jvm.java.lang.ProcessHandle.current().pid()
+    held = lambda: sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", Path(f"/proc/{pid}/smaps_rollup").read_text()))) / 1024
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(5)
+    dict(corpus_pipeline.STAGES)["personal_data"](spark, docs, SF)  # what both do at first has been done
+    saved(docs)
+
+    def freed_by(what):
+        blocks = [jvm.java.nio.ByteBuffer.allocateDirect(60_000) for _ in range(3000)]
+        for i, x in enumerate(blocks):
+            if i % 100 != 99:
+                jvm.org.apache.spark.storage.StorageUtils.dispose(x)
+        before = held()
+        what()
+        after = held()
+        for x in blocks[99::100]:
+            jvm.org.apache.spark.storage.StorageUtils.dispose(x)
+        return before - after
+
+    assert freed_by(lambda: dict(corpus_pipeline.STAGES)["personal_data"](spark, docs, SF)) > 80
+    assert freed_by(lambda: saved(docs)) > 80

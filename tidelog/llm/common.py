@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.sources.shared import hadoop, names, remove, rename, saved, settled, shared_dir, workspace  # noqa: F401
+from tidelog.sources.shared import give_back, hadoop, names, remove, rename, saved, settled, shared_dir, workspace  # noqa: F401
 
 ROOT = str(Path(__file__).resolve().parents[2])
 #: Characters that one vectorised step handles; it bounds a Python worker's arrays.

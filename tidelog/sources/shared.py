@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 #: The folder in which saved() writes now, where workspace() holds one.
@@ -51,6 +52,22 @@ def rename(spark: SparkSession, old: str, new: str) -> bool:
     return not fs.exists(p) and bool(fs.rename(hadoop(spark, old)[1], p))
 
 
+def give_back(spark: SparkSession) -> None:
+    """Has the driver's JVM return the native memory that it has freed: where many plans are made, compilers and threads leave some hundred MB of it with malloc.
+
+    HotSpot on glibc can do that; elsewhere nothing happens.
+    """
+    jvm, made = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    try:
+        server = jvm.java.lang.Class.forName("javax.management.MBeanServer")  # its own class can't be reached
+        (invoke,) = (m for m in server.getMethods() if m.getName() == "invoke")
+        given = made(jvm.java.lang.Object, 4)
+        given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
+    except (Py4JError, ValueError):
+        pass
+
+
 @contextmanager
 def workspace(spark: SparkSession) -> Iterator[str]:
     """A folder in the shared one for the tables that saved() writes inside; it goes when the block ends, or fails."""
@@ -71,6 +88,7 @@ def saved(df: DataFrame) -> DataFrame:
     """
     path = f"{_FOLDER.get() or shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    give_back(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
