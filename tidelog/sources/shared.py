@@ -53,7 +53,7 @@ def rename(spark: SparkSession, old: str, new: str) -> bool:
 
 
 def give_back(spark: SparkSession) -> None:
-    """Has the driver's JVM return the native memory that it has freed: where many plans are made, compilers and threads leave some hundred MB of it with malloc.
+    """Has the driver's JVM return the native memory that it has freed: where many plans are made, some hundred MB of it stay with malloc.
 
     HotSpot on glibc can do that; elsewhere nothing happens.
     """
